@@ -69,10 +69,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Everything in ASCII but letters and digits, for word matching that ignores punctuation.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in UTF-8 bytes."""
     gap = np.ones(len(data) + 2, dtype=bool)
-    gap[1:-1] = SEPARATOR[data]
+    gap[1:-1] = separator[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     return edge[::2], edge[1::2]
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from walflow.llm import bpe, langid, media, pii, sharding, url_filter
+from walflow.llm import bpe, decontaminate, langid, media, pii, sharding, substring, url_filter
 
 
 def queries():
     return {
         "op2_bpe": bpe.query,
+        "op3_substring_dedup": substring.query,
         "op4_url_filters": url_filter.query,
         "op6_sharding": sharding.query,
         "op7_language_id": langid.query,
         "op10_pii": pii.query,
+        "op8_decontamination": decontaminate.query,
         "op9_media_columns": media.query,
     }
 
