@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from walflow.llm import bpe, decontaminate, langid, media, pii, sharding, substring, url_filter
+from walflow.llm import bpe, decontaminate, langid, media, pii, sharding, substring, suffix_dedup, url_filter
 
 
 def queries():
     return {
+        "op1_suffix_array_dedup": suffix_dedup.query,
         "op2_bpe": bpe.query,
         "op3_substring_dedup": substring.query,
         "op4_url_filters": url_filter.query,
