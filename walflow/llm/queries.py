@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from walflow.llm import bpe, decontaminate, langid, media, pii, sharding, substring, suffix_dedup, url_filter
+from walflow.llm import bpe, decontaminate, jaccard_join, langid, media, pii, sharding, substring, suffix_dedup, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_bpe": bpe.query,
         "op3_substring_dedup": substring.query,
         "op4_url_filters": url_filter.query,
+        "op5_ngram_jaccard_join": jaccard_join.query,
         "op6_sharding": sharding.query,
         "op7_language_id": langid.query,
         "op10_pii": pii.query,
