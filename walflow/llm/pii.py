@@ -206,14 +206,15 @@ def redact(docs: DataFrame, extracted: DataFrame, column: str = "text") -> DataF
     rows = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_k", F.md5(F.coalesce(F.col(column).cast("binary"), F.lit(b""))))
     spans = extracted.where(F.size("found") > 0).groupBy("doc_id", "key").agg(F.first("found").alias("_found")).withColumnsRenamed({"doc_id": "_e", "key": "_l"})
     joined = rows.join(spans, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_k") == F.col("_l")), "left").select(*[rows[c] for c in docs.columns], "_found")
-    at = docs.columns.index(column)
+    names = list(docs.columns)
+    at = names.index(column)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, found = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         new = [redact_text(t, f) if f and t is not None else t for t, f in zip(texts, found)]
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         columns[at] = pa.array(new, batch.column(at).type)
-        return pa.RecordBatch.from_arrays(columns, docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(batches(run), schema)
 
