@@ -40,8 +40,8 @@ from walflow.llm.common import NULL_ID, batches, encoded, int64s, read, save, sh
 from walflow.llm.hashing import BYTE_BASE, Rolling, mix, slices, window_min
 
 THRESHOLD, GRAM, DIGITS = 400, 64, 4
-#: Contexts per sorted group at most, and per bucket of groups on average.
-GROUP, BUCKET = 4000, 6000
+#: Contexts per sorted group at most, per bucket of groups on average, and in a group settled by comparison.
+GROUP, BUCKET, SMALL = 4000, 3000, 8
 
 
 def text_key(data: bytes) -> bytes:
@@ -70,29 +70,31 @@ def anchors(texts: list[bytes], threshold: int = THRESHOLD, gram: int = GRAM):
     return row, at - np.concatenate([[0], ends])[row], grams[at]
 
 
-def repeated(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM, digits: int = DIGITS):
-    """Radix passes over the suffixes in the contexts of anchors.
-
-    groups: an id of each context's anchor group; lefts: bytes before the anchor.
-    Returns (context, offset, key) of the suffixes left at full depth, offsets
-    counted from `threshold - gram` bytes before the anchor, and all suffixes' keys
-    as (context, offset, key).
-    """
-    before = threshold - gram
-    width = before + threshold
+def frame(contexts: list[bytes], lefts: np.ndarray, before: int, width: int) -> np.ndarray:
+    """The contexts as rows of one array, their anchors all in column `before`."""
     lens = np.array([len(c) for c in contexts])
     flat = np.zeros((len(contexts), width), dtype=np.uint8)
     column = np.arange(width)
     flat[(column >= (before - lefts)[:, None]) & (column < (before - lefts + lens)[:, None])] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    return flat
+
+
+def offsets(lens: np.ndarray, lefts: np.ndarray, threshold: int, before: int):
+    """(context, offset) of every suffix of threshold length in the contexts, by context and offset."""
     first, last = before - lefts, np.minimum(before, before - lefts + lens - threshold)
     counts = np.maximum(0, last - first + 1)
-    row = np.repeat(np.arange(len(contexts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
-    rolling = Rolling(flat.ravel(), BYTE_BASE)
+    row = np.repeat(np.arange(len(lens)), counts)
+    return row, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
+
+
+def radix_passes(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int, before: int, digits: int = DIGITS):
+    """(context, offset) of the suffixes that share all `threshold` bytes with another of their group and offset."""
+    width = before + threshold
+    row, offset = offsets(np.array([len(c) for c in contexts]), lefts, threshold, before)
+    rolling = Rolling(frame(contexts, lefts, before, width).ravel(), BYTE_BASE)
     place = row * width + offset
     cuts = np.linspace(0, threshold, digits + 1).astype(int)
     key = mix(groups[row] ^ (offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    whole = mix(key ^ rolling.runs(place, place + threshold))
     live = np.arange(len(row))
     for a, b in zip(cuts[:-1], cuts[1:]):
         key = mix(key * np.uint64(3) ^ rolling.runs(place[live] + a, place[live] + b))
@@ -102,7 +104,56 @@ def repeated(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, thres
         same[1:-1] = ranked[1:] == ranked[:-1]
         keep = np.sort(order[same[1:] | same[:-1]])
         live, key = live[keep], key[keep]
-    return live, row, offset, whole
+    return row[live], offset[live]
+
+
+def compare_pairs(x: np.ndarray, y: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int, before: int):
+    """For pairs of contexts: the bytes they share to the left of the anchor and from it on."""
+    rights = np.array([len(c) for c in contexts]) - lefts
+    flat = frame(contexts, lefts, before, before + threshold)
+    left, right = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 8192):
+        p, q = x[a : a + 8192], y[a : a + 8192]
+        differ = flat[p] != flat[q]
+        l, r = differ[:, :before][:, ::-1], differ[:, before:]
+        left[a : a + 8192] = np.minimum(np.where(l.any(axis=1), l.argmax(axis=1), before), np.minimum(lefts[p], lefts[q]))
+        right[a : a + 8192] = np.minimum(np.where(r.any(axis=1), r.argmax(axis=1), threshold), np.minimum(rights[p], rights[q]))
+    return left, right
+
+
+def repeated(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM, small: int = SMALL):
+    """First and last offset of each context's repeated suffixes (first > last: none).
+
+    Offsets count from `threshold - gram` bytes before the anchor. Contexts of a group
+    must be distinct; groups up to `small` are settled by comparison, as usual where a
+    radix sort has few keys left, larger ones by `radix_passes`.
+    """
+    before = threshold - gram
+    n = len(contexts)
+    low, high = np.full(n, before + 1), np.full(n, -1)
+    order = np.argsort(groups, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1]]))[:n]
+    size = np.diff(np.append(start, n))
+    x, y = [], []
+    for g in range(2, small + 1):
+        at = start[size == g]
+        for i in range(g):
+            for j in range(i + 1, g):
+                x.append(order[at + i])
+                y.append(order[at + j])
+    if x and sum(map(len, x)):
+        x, y = np.concatenate(x), np.concatenate(y)
+        left, right = compare_pairs(x, y, contexts, lefts, threshold, before)
+        fits = left + right >= threshold
+        for z in (x[fits], y[fits]):
+            np.minimum.at(low, z, before - left[fits])
+            np.maximum.at(high, z, np.minimum(before, before + right[fits] - threshold))
+    large = order[np.repeat(size > small, size)]
+    if len(large):
+        row, offset = radix_passes(groups[large], [contexts[i] for i in large], lefts[large], threshold, before)
+        np.minimum.at(low, large[row], offset)
+        np.maximum.at(high, large[row], offset)
+    return low, high
 
 
 def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,33 +241,35 @@ def sort_groups(dealt: DataFrame, threshold: int, gram: int) -> DataFrame:
             borders = at + 16 * n + np.concatenate([[0], np.cumsum(x[5])])
             contexts += [blob[a:b] for a, b in zip(borders[:-1], borders[1:])]
             numbers.append(x)
-        anchor, salt, parts, pos, left, _ = np.concatenate(numbers, axis=1)
+        anchor, salt, parts, pos, left, length = np.concatenate(numbers, axis=1)
         groups = mix(anchor.view(np.uint64) ^ mix(salt.astype(np.uint64) + np.uint64(1)))
-        plain = mix(anchor.view(np.uint64))
-        live, row, offset, whole = repeated(groups, contexts, left, threshold, gram)
+        # Equal contexts repeat each other in full; one of them stands for all in the sort.
+        names: dict[tuple, int] = {}
+        member = np.array([names.setdefault((g, k, c), len(names)) for g, k, c in zip(groups.tolist(), left.tolist(), contexts)])
+        one = np.unique(member, return_index=True)[1]
+        twice = np.bincount(member) > 1
+        low, high = repeated(groups[one], [contexts[i] for i in one], left[one], threshold, gram)
+        low[twice] = (before - left[one])[twice]
+        high[twice] = np.minimum(before, before - left[one] + length[one] - threshold)[twice]
         out = {"key": [], "start": [], "end": [], "suffix": [], "part": []}
-        if len(live):
-            r, o = row[live], offset[live]  # in order of context, then offset
-            new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            last = np.append(new[1:], len(r)) - 1
-            for i, a, b in zip(r[new].tolist(), o[new].tolist(), o[last].tolist()):
-                out["key"].append(keys[i])
-                out["start"].append(int(pos[i]) - before + a)
-                out["end"].append(int(pos[i]) - before + b + threshold)
-            out["suffix"] += [None] * len(new)
-            out["part"] += [None] * len(new)
-        split = np.flatnonzero(parts[row] > 1)
+        hit = np.flatnonzero((low <= high)[member])
+        out["key"] += [keys[i] for i in hit]
+        out["start"] += (pos[hit] - before + low[member[hit]]).tolist()
+        out["end"] += (pos[hit] - before + high[member[hit]] + threshold).tolist()
+        out["suffix"] += [None] * len(hit)
+        out["part"] += [None] * len(hit)
+        split = one[parts[one] > 1]
         if len(split):
             # The same suffix of another part has another group id: name it by the anchor alone.
-            suffix = whole_keys(plain, contexts, left, row[split], offset[split], threshold, before)
-            _, one = np.unique(mix(suffix ^ mix(salt[row[split]].astype(np.uint64))), return_index=True)
-            for s, j in zip(suffix[one].view(np.int64).tolist(), split[one].tolist()):
-                i = int(row[j])
-                out["key"].append(keys[i])
-                out["start"].append(int(pos[i]) - before + int(offset[j]))
-                out["end"].append(int(pos[i]) - before + int(offset[j]) + threshold)
-                out["suffix"].append(s)
-                out["part"].append(int(salt[i]))
+            row, offset = offsets(length[split], left[split], threshold, before)
+            suffix = whole_keys(mix(anchor.view(np.uint64))[split], [contexts[i] for i in split], left[split], row, offset, threshold, before)
+            first = np.unique(mix(suffix ^ mix(salt[split][row].astype(np.uint64))), return_index=True)[1]
+            owner = split[row[first]]
+            out["key"] += [keys[i] for i in owner]
+            out["start"] += (pos[owner] - before + offset[first]).tolist()
+            out["end"] += (pos[owner] - before + offset[first] + threshold).tolist()
+            out["suffix"] += suffix[first].view(np.int64).tolist()
+            out["part"] += salt[owner].tolist()
         return pa.table({"key": pa.array(out["key"], pa.binary()), "start": pa.array(out["start"], pa.int64()), "end": pa.array(out["end"], pa.int64()), "suffix": pa.array(out["suffix"], pa.int64()), "part": pa.array(out["part"], pa.int64())})
 
     return dealt.groupBy("bucket").applyInArrow(run, "key binary, start long, end long, suffix long, part long")
