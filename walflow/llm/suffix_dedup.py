@@ -41,7 +41,7 @@ from walflow.llm.hashing import BYTE_BASE, Rolling, mix, slices, window_min
 
 THRESHOLD, GRAM, DIGITS = 400, 64, 4
 #: Contexts per sorted group at most, per bucket of groups on average, and in a group settled by comparison.
-GROUP, BUCKET, SMALL = 4000, 3000, 8
+GROUP, BUCKET, SMALL = 40_000, 3000, 8
 
 
 def text_key(data: bytes) -> bytes:
@@ -88,23 +88,46 @@ def offsets(lens: np.ndarray, lefts: np.ndarray, threshold: int, before: int):
 
 
 def radix_passes(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int, before: int, digits: int = DIGITS):
-    """(context, offset) of the suffixes that share all `threshold` bytes with another of their group and offset."""
-    width = before + threshold
-    row, offset = offsets(np.array([len(c) for c in contexts]), lefts, threshold, before)
-    rolling = Rolling(frame(contexts, lefts, before, width).ravel(), BYTE_BASE)
-    place = row * width + offset
+    """First and last offset at which each context's suffix shares all `threshold` bytes with another of its group.
+
+    Offset by offset, in memory that grows with the number of contexts alone: the digits'
+    hashes roll along, and each pass keeps the suffixes whose group still has two members.
+    """
+    n = len(contexts)
+    columns = np.ascontiguousarray(frame(contexts, lefts, before, before + threshold).T)
+    lens = np.array([len(c) for c in contexts])
+    first, last = before - lefts, np.minimum(before, before - lefts + lens - threshold)
+    low, high = np.full(n, before + 1), np.full(n, -1)
     cuts = np.linspace(0, threshold, digits + 1).astype(int)
-    key = mix(groups[row] ^ (offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    live = np.arange(len(row))
+    base = np.uint64(BYTE_BASE)
+    top = [np.uint64(pow(BYTE_BASE, int(b - a - 1), 1 << 64)) for a, b in zip(cuts[:-1], cuts[1:])]
+    value = lambda c: columns[c].astype(np.uint64) + np.uint64(1)
+    digit = []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        key = mix(key * np.uint64(3) ^ rolling.runs(place[live] + a, place[live] + b))
-        order = np.argsort(key)
-        ranked = key[order]
-        same = np.zeros(len(ranked) + 1, dtype=bool)
-        same[1:-1] = ranked[1:] == ranked[:-1]
-        keep = np.sort(order[same[1:] | same[:-1]])
-        live, key = live[keep], key[keep]
-    return row[live], offset[live]
+        h = np.zeros(n, dtype=np.uint64)
+        for c in range(a, b):
+            h = h * base + value(c)
+        digit.append(h)
+    for s in range(before + 1):
+        live = np.flatnonzero((first <= s) & (s <= last))
+        key = groups[live]
+        for h in digit:
+            if len(live) < 2:
+                break
+            key = mix(key * np.uint64(3) ^ mix(h[live]))
+            order = np.argsort(key)
+            ranked = key[order]
+            same = np.zeros(len(ranked) + 1, dtype=bool)
+            same[1:-1] = ranked[1:] == ranked[:-1]
+            keep = order[same[1:] | same[:-1]]
+            live, key = live[keep], key[keep]
+        if len(live) > 1:
+            low[live] = np.minimum(low[live], s)
+            high[live] = s
+        if s < before:
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                digit[k] = (digit[k] - value(a + s) * top[k]) * base + value(b + s)
+    return low, high
 
 
 def compare_pairs(x: np.ndarray, y: np.ndarray, contexts: list[bytes], lefts: np.ndarray, threshold: int, before: int):
@@ -150,9 +173,7 @@ def repeated(groups: np.ndarray, contexts: list[bytes], lefts: np.ndarray, thres
             np.maximum.at(high, z, np.minimum(before, before + right[fits] - threshold))
     large = order[np.repeat(size > small, size)]
     if len(large):
-        row, offset = radix_passes(groups[large], [contexts[i] for i in large], lefts[large], threshold, before)
-        np.minimum.at(low, large[row], offset)
-        np.maximum.at(high, large[row], offset)
+        low[large], high[large] = radix_passes(groups[large], [contexts[i] for i in large], lefts[large], threshold, before)
     return low, high
 
 
