@@ -16,10 +16,11 @@ strings in it. Equal suffixes have equal anchors at equal offsets, so
    the anchor, so their union is one run of bytes.
 
 Texts that occur several times as a whole are repeated in full; one of them stands
-for all in the steps above, so a hot group of copies costs one row. An anchor group
-of more than ``GROUP`` contexts is sorted in salted parts; then each part sends one
-suffix of each distinct kind, and suffixes alone in their part are looked up
-among the other parts. Nothing is capped.
+for all in the steps above, so a hot group of copies costs one row. An anchor with
+more than ``GROUP`` members has its equal contexts merged before they are sorted; if
+more than GROUP distinct ones remain, they are sorted in salted parts, each part
+sends one suffix of each distinct kind, and suffixes alone in their part are looked
+up among the other parts. Nothing is capped.
 
 Defined cases: null text is empty; texts under THRESHOLD bytes lose nothing;
 repeated rows are copies of each other; overlapping repeats inside one text count;
@@ -221,31 +222,93 @@ def scan_anchors(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     return docs.mapInArrow(batches(run), "anchor long, key binary, pos long")
 
 
+def pack_contexts(entries, buckets: int, group: int) -> pa.RecordBatch:
+    """(bucket, blob) of entries (anchor, members, key, pos, bytes before the anchor, context)."""
+    press = zstandard.ZstdCompressor(level=3)
+    out: dict[int, list] = {}
+    for anchor, n, key, pos, left, context in entries:
+        parts = -(-n // group)
+        salt = int.from_bytes(hashlib.blake2b(key + pos.to_bytes(8, "little"), digest_size=4).digest(), "little") % parts
+        out.setdefault((anchor + salt * 0x9E3779B1) % buckets, []).append((anchor, salt, parts, key, pos, left, context))
+    blobs = []
+    for rows in out.values():
+        anchor, salt, parts, key, pos, left, context = zip(*rows)
+        numbers = np.array([anchor, salt, parts, pos, left, [len(c) for c in context]], dtype="<i8")
+        blobs.append(press.compress(len(rows).to_bytes(8, "little") + numbers.tobytes() + b"".join(key) + b"".join(context)))
+    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def contexts_of(batch: pa.RecordBatch, before: int, threshold: int, wanted):
+    """(anchor, n, key, pos, left, context) of the anchors of a batch (key, packed, anchors) whose n is wanted."""
+    open_ = zstandard.ZstdDecompressor()
+    for key, packed, listed in zip(*(c.to_pylist() for c in batch.columns)):
+        text = None
+        for x in listed:
+            if wanted(x["n"]):
+                text = open_.decompress(packed) if text is None else text
+                a = max(0, x["pos"] - before)
+                yield x["anchor"], x["n"], key, x["pos"], x["pos"] - a, text[a : x["pos"] + threshold]
+
+
 def deal_contexts(found: DataFrame, buckets: int, group: int, threshold: int, gram: int) -> DataFrame:
-    """(bucket, blob): the anchors of found (key, packed, anchors) with their contexts, equal anchors in one bucket unless salted."""
+    """(bucket, blob): the anchors of found (key, packed, anchors) in groups up to `group`, equal anchors in one bucket."""
     before = threshold - gram
 
-    def run(batch: pa.RecordBatch):
-        open_, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        out: dict[int, list] = {}
-        for key, packed, listed in zip(*(c.to_pylist() for c in batch.columns)):
-            text = open_.decompress(packed)
-            for x in listed:
-                pos, parts = x["pos"], -(-x["n"] // group)
-                salt = int.from_bytes(hashlib.blake2b(key + pos.to_bytes(8, "little"), digest_size=4).digest(), "little") % parts
-                bucket = (x["anchor"] + salt * 0x9E3779B1) % buckets
-                a = max(0, pos - before)
-                out.setdefault(bucket, []).append((x["anchor"], salt, parts, key, pos, pos - a, text[a : pos + threshold]))
-        rows = []
-        for rowset in out.values():
-            anchor, salt, parts, key, pos, left, context = zip(*rowset)
-            numbers = np.array([anchor, salt, parts, pos, left, [len(c) for c in context]], dtype="<i8")
-            rows.append(press.compress(len(rowset).to_bytes(8, "little") + numbers.tobytes() + b"".join(key) + b"".join(context)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "blob"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pack_contexts(contexts_of(batch, before, threshold, lambda n: n <= group), buckets, group)
 
     return found.mapInArrow(batches(run), "bucket int, blob binary")
 
 
+def large_groups(found: DataFrame, group: int, threshold: int, gram: int) -> DataFrame:
+    """(key, start, end) of the repeated runs around anchors with more than `group` members.
+
+    Their equal contexts are merged before they meet, so what is sorted (and salted, if it is
+    still too much) is distinct contexts; results go back to the members by context digest.
+    """
+    before = threshold - gram
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: set[bytes] = set()
+        rows = []
+        for anchor, _, key, pos, left, context in contexts_of(batch, before, threshold, lambda n: n > group):
+            digest = hashlib.blake2b(anchor.to_bytes(8, "little", signed=True) + left.to_bytes(4, "little") + context, digest_size=16).digest()
+            rows.append((anchor, digest, key, pos, left, None if digest in seen else context))
+            seen.add(digest)
+        anchor, digest, key, pos, left, context = zip(*rows) if rows else ((),) * 6
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor, pa.int64()), pa.array(digest, pa.binary()), pa.array(key, pa.binary()), pa.array(pos, pa.int64()), pa.array(left, pa.int64()), pa.array(context, pa.binary())],
+            ["anchor", "digest", "key", "pos", "left", "context"],
+        )
+
+    hot = found.where(F.exists("anchors", lambda a: a["n"] > group)).mapInArrow(batches(spread), "anchor long, digest binary, key binary, pos long, left long, context binary")
+    hot = save(hot, "suffix-hot")
+    distinct = hot.groupBy("anchor", "digest").agg(F.count("*").alias("members"), F.first("left").alias("left"), F.first("context", True).alias("context"))
+    distinct = save(distinct, "suffix-distinct")
+    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
+    buckets = max(1, -(-distinct.count() // BUCKET))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("anchor", "n", "digest", "left", "context", "members")))
+        # A context with several members goes twice: it repeats itself.
+        return pack_contexts(((a, n, d, 0, left, c) for a, n, d, left, c, m in rows for _ in range(min(m, 2))), buckets, group)
+
+    dealt = distinct.join(per_anchor, "anchor").mapInArrow(batches(run), "bucket int, blob binary")
+    runs = merged(save(sort_groups(dealt, threshold, gram), "suffix-large"), True).distinct()
+    members = hot.select(F.col("digest"), F.col("key").alias("member"), "pos")
+    return members.join(runs.withColumnRenamed("key", "digest"), "digest").select(F.col("member").alias("key"), (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"))
+
+
+def merged(pieces: DataFrame, split: bool) -> DataFrame:
+    """(key, start, end) of sorted groups; suffixes that meet only across the parts of a split group are added."""
+    runs = pieces.where("suffix is null").select("key", "start", "end")
+    if not split:
+        return runs
+    apart = pieces.where("suffix is not null")
+    across = apart.groupBy("suffix").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("suffix")
+    return runs.unionByName(apart.join(across, "suffix", "left_semi").select("key", "start", "end"))
+
+
 def sort_groups(dealt: DataFrame, threshold: int, gram: int) -> DataFrame:
     """Repeated runs (key, start, end) of each bucket; of salted groups also every distinct suffix, with its `suffix` key and `part`."""
     before = threshold - gram
@@ -324,12 +387,9 @@ def repeated_runs(docs: DataFrame, meta: DataFrame, copies: DataFrame, threshold
 
     packed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInArrow(batches(pack), "id long, key binary, packed binary")
     found = save(hits.join(packed, ["id", "key"]).dropDuplicates(["id", "key"]).select("key", "packed", "anchors"), "suffix-texts")
-    pieces = save(sort_groups(deal_contexts(found, buckets, group, threshold, gram), threshold, gram), "suffix-runs")
-    runs = pieces.where("suffix is null").select("key", "start", "end")
+    runs = merged(save(sort_groups(deal_contexts(found, buckets, group, threshold, gram), threshold, gram), "suffix-runs"), False)
     if (size[1] or 0) > group:
-        apart = pieces.where("suffix is not null")
-        across = apart.groupBy("suffix").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("suffix")
-        runs = runs.unionByName(apart.join(across, "suffix", "left_semi").select("key", "start", "end"))
+        runs = runs.unionByName(large_groups(found, group, threshold, gram))
     return runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("runs")), found.select("key", "packed")
 
 
