@@ -26,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from walflow.llm.common import batches, encoded, read, sha
+from walflow.llm.common import batches, encoded, read, sha, small_batches
 from walflow.llm.hashing import slices
 
 #: Stretches and pieces kept per worker process; a table is emptied when it is full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: Pieces up to this many symbols are merged many at a time, one tree per row of an array.
 WIDE = 64
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    rows = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     return rows.mapInArrow(batches(run), schema)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -17,7 +19,7 @@ NULL_ID = (1 << 63) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,18 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Arrow's default of 10,000 rows a batch is tens of MB of text on either side; documents go by fewer."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of text in all rows: sizes the bucket counts of the exchanges."""
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -74,5 +88,6 @@ def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBa
                 yield out
             else:
                 yield from out
+        trim()
 
     return run

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read
+from walflow.llm.common import batches, encoded, read, small_batches
 from walflow.llm.hashing import BYTE_BASE, LOWER, NOT_WORD, Rolling, slices, words
 
 K1, B = 1.2, 0.75
@@ -235,7 +235,7 @@ LEAK = "array<struct<item_id long, score double, question double, answer double>
 
 def with_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` (with text) and a column `leaks` of the items found in each row."""
-    rows = docs.withColumn("leaks", F.array().cast(LEAK))
+    rows = small_batches(docs).withColumn("leaks", F.array().cast(LEAK))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     at = docs.columns.index("text")
 

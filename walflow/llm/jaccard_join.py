@@ -7,15 +7,16 @@ band and in the next one's. For an instance, similarity bounds the number k of
 elements in which two sets differ. The hash domain is cut into first-level groups of
 second-level partitions; as k differences cannot reach every group more than
 ``k2`` times, two similar sets agree on some subset of a group's partitions that
-leaves out k2 of them. The hash of each such subset is a signature: large sets use
-plain groups (k2 = 0), sets with k up to ``ENUMERATE`` groups of three partitions
-of which any two (k2 = 1). Signatures of nothing are left out wherever the others
+leaves out k2 of them. The hash of each such subset is a signature: sets with k
+over ``ENUMERATE`` use plain groups (k2 = 0) if these hold ``SELECTIVE`` elements on
+average, all others groups of three partitions of which any two (k2 = 1). Signatures of nothing are left out wherever the others
 still guarantee a meeting, so sparse sets do not meet over empty partitions.
 
 Signatures travel in binary rows. Sets with a common signature are candidates of
 each other; candidate components are found by label propagation, and within a
-component every pair is verified exactly: intersections come from products of
-blocks of the component's incidence matrix. A component of more than ``BLOCK``
+component every pair is verified exactly: intersections are counted from an inverted
+list of the elements in up to ``RARE`` sets and, for commoner elements, come from
+products of the component's incidence matrix. A component of more than ``BLOCK``
 classes is verified by pairs of salted blocks in separate tasks, so no task holds
 more than two blocks. Tasks report a spanning forest and link counts, never pairs.
 A second label propagation over the verified links gives the components.
@@ -37,13 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import NULL_ID, batches, encoded, read, save, text_bytes
+from walflow.llm.common import NULL_ID, batches, encoded, read, save, text_bytes, small_batches, trim
 from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slices, words
 
 SHINGLE, PERCENT = 4, 85
-ENUMERATE, BLOCK = 16, 1500
+ENUMERATE, SELECTIVE, RARE, BLOCK = 16, 5.5, 32, 1000
 #: Text per chunk of signatures, per bucket of the exchange, and classes per verifying task.
-CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 16_000_000, 400, 4096
+CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 16_000_000, 400, 2048
 
 
 class Bands:
@@ -96,7 +97,7 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
         k = bands.differ(instance)
         if not k:
             continue  # only equal sets, which are one class
-        k2 = 1 if k <= ENUMERATE else 0
+        k2 = 0 if k > ENUMERATE and bands.tops[instance] >= SELECTIVE * k else 1
         n2 = 2 * k2 + 1
         need = k // (k2 + 1) + 1
         n1 = need + max(1, need // 20)
@@ -230,20 +231,37 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     flat, owner = flat[order], owner[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
     column = np.cumsum(new) - 1
-    often = np.bincount(column) > 1
+    times = np.bincount(column)
+    total, n = len(sets), len(left)
+    common = np.zeros(total * total, dtype=np.int32)
+    # Elements in few sets: count their pairs of owners. Elements in many: multiply.
+    first = np.cumsum(times) - times
+    codes, held = [], 0
+    for f in range(2, RARE + 1):
+        at = first[times == f]
+        if not len(at):
+            continue
+        for i in range(f):
+            for j in range(i + 1, f):
+                codes.append(owner[at + i] * total + owner[at + j])
+                held += len(at)
+                if held > 2_000_000:
+                    common += np.bincount(np.concatenate(codes), minlength=total * total).astype(np.int32)
+                    codes, held = [], 0
+    if codes:
+        common += np.bincount(np.concatenate(codes), minlength=total * total).astype(np.int32)
+    common = common.reshape(total, total)
+    often = times > RARE
     keep = often[column]
-    column = (np.cumsum(often) - 1)[column[keep]]
-    owner = owner[keep]
-    sizes = np.array([len(s) for s in sets])
-    n = len(left)
-    common = np.zeros((n, len(right) if right is not None else n), dtype=np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    column, owner = (np.cumsum(often) - 1)[column[keep]], owner[keep]
+    for a in range(0, int(often.sum()), COLUMNS):
         lo, hi = np.searchsorted(column, [a, a + COLUMNS])
-        x = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
+        x = np.zeros((total, min(COLUMNS, int(often.sum()) - a)), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
-        common += x[:n] @ (x[n:] if right is not None else x).T
+        common += np.triu(x @ x.T, 1).astype(np.int32)
+    common = (common[:n, n:] if right is not None else common).astype(np.int64)
+    sizes = np.array([len(s) for s in sets])
     other = sizes[n:] if right is not None else sizes
-    common = common.astype(np.int64)
     close = 100 * common >= percent * (sizes[:n, None] + other[None, :] - common)
     if right is None:
         close = np.triu(close, 1)
@@ -263,6 +281,7 @@ def verify(found: DataFrame, percent: int, width: int) -> DataFrame:
         texts = [open_.decompress(p) for p in table.column("packed").to_pylist()]
         sets = [s for a, b in slices([len(t) for t in texts]) for s in shingles(texts[a:b], width)]
         order = np.lexsort((cls, comp))
+        trim()
         out_a, out_b, out_n = [], [], []
         for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             if i != j:
@@ -291,7 +310,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     n_links counts the other rows whose set is similar to the row's own; component names
     the row's group even where several groups have one smallest doc_id (null: empty set).
     """
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     bands = Bands(percent)
     meta = save(scan_sets(docs, width), "join-sets")
     ident = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "key")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read
+from walflow.llm.common import batches, encoded, read, small_batches
 
 TRAIN_ROWS = 2000
 BUCKETS = 8192
@@ -127,7 +127,7 @@ def held_out():
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled rows of docs (doc_id, text, lang) that are not held out, the same number per lang."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)

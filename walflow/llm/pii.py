@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read, save, sha
+from walflow.llm.common import batches, encoded, read, save, sha, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
@@ -141,7 +141,7 @@ def scan(docs: DataFrame) -> DataFrame:
         columns = [batch.column(0), pa.array(keys, pa.string()), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(bases, span), pa.array(cands, found)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "candidates"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches(run), SCANNED)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches(run), SCANNED)
 
 
 def learn(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

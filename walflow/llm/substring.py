@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import NULL_ID, batches, encoded, read, sha, text_bytes
+from walflow.llm.common import NULL_ID, batches, encoded, read, sha, text_bytes, trim
 from walflow.llm.hashing import BYTE_BASE, WORD_BASE, Rolling, slices, window_min, words
 
 WINDOW, MINIMIZER = 13, 6
@@ -186,6 +186,7 @@ def repeated_paths(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         i, k, s, n = settle(table.column("blob").to_pylist())
+        trim()
         return pa.table({"doc_id": pa.array(i, pa.int64()), "key": pa.array(k, pa.int64()), "start": pa.array(s, pa.int64()), "n": pa.array(n, pa.int64())})
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(deal, "bucket int, blob binary")

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import NULL_ID, batches, encoded, int64s, read, save, sha
+from walflow.llm.common import NULL_ID, batches, encoded, int64s, read, save, sha, trim
 from walflow.llm.hashing import BYTE_BASE, Rolling, mix, slices, window_min
 
 THRESHOLD, GRAM, DIGITS = 400, 64, 4
@@ -284,8 +284,15 @@ def large_groups(found: DataFrame, group: int, threshold: int, gram: int) -> Dat
     hot = found.where(F.exists("anchors", lambda a: a["n"] > group)).mapInArrow(batches(spread), "anchor long, digest binary, key binary, pos long, left long, context binary")
     hot = save(hot, "suffix-hot")
     distinct = hot.groupBy("anchor", "digest").agg(F.count("*").alias("members"), F.first("left").alias("left"), F.first("context", True).alias("context"))
+    # The first digits: suffixes that are equal to full depth share either the bytes up to `half` from
+    # the anchor on or those from `threshold - half` before it, so groups part by either and lone ones go.
+    half = (threshold + gram) // 2
+    ahead = F.when(F.octet_length("context") - F.col("left") >= half, F.expr(f"substring(context, cast(left as int) + 1, {half})"))
+    behind = F.when(F.col("left") > threshold - half, F.expr(f"substring(context, cast(left as int) - {threshold - half}, {threshold - half + 1})"))
+    digits = F.array(F.struct(F.lit("ahead").alias("side"), ahead.alias("digit")), F.struct(F.lit("behind").alias("side"), behind.alias("digit")))
+    distinct = distinct.withColumn("d", F.explode(digits)).where("d.digit is not null").withColumn("anchor", F.xxhash64("anchor", "d.side", "d.digit")).drop("d")
     distinct = save(distinct, "suffix-distinct")
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
+    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("members").alias("all")).where(F.col("all") > 1).select("anchor", "n")
     buckets = max(1, -(-distinct.count() // BUCKET))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -354,6 +361,7 @@ def sort_groups(dealt: DataFrame, threshold: int, gram: int) -> DataFrame:
             out["end"] += (pos[owner] - before + offset[first] + threshold).tolist()
             out["suffix"] += suffix[first].view(np.int64).tolist()
             out["part"] += salt[owner].tolist()
+        trim()
         return pa.table({"key": pa.array(out["key"], pa.binary()), "start": pa.array(out["start"], pa.int64()), "end": pa.array(out["end"], pa.int64()), "suffix": pa.array(out["suffix"], pa.int64()), "part": pa.array(out["part"], pa.int64())})
 
     return dealt.groupBy("bucket").applyInArrow(run, "key binary, start long, end long, suffix long, part long")
