@@ -15,7 +15,7 @@ from walflow.llm import bpe, decontaminate, jaccard_join, langid, pii
 from walflow.llm.common import read, save
 
 #: Near duplicates share this many percent of their shingles of so many words.
-NEAR_WORDS, NEAR_PERCENT = 5, 80
+NEAR_WORDS, NEAR_PERCENT = 5, 85
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
