@@ -3,7 +3,8 @@
 Option `path`: a folder of parquet files with slot, seq, start_lsn, end_lsn, send_time and
 payload that all executors can read; `slot`: a base slot name, `slots`: how many (each is a
 partition); `max_messages`: admission limit of a micro-batch (a single larger transaction
-still goes whole). A micro-batch always ends where no transaction is open, so batches hold
+still goes whole, and so does the backlog that a start finds, as a restarted reader cannot
+know what its predecessor delivered). A micro-batch always ends where no transaction is open, so batches hold
 whole transactions and their assembly needs no state; relation messages of earlier batches
 are repeated at their old places so that metadata is known.
 """
@@ -76,14 +77,16 @@ class _Batch(_Read, DataSourceReader):
 class _Stream(_Read, DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.names, self.most = options["path"], _names(options), int(options.get("max_messages", "100000"))
-        self.at = -1
+        self.at: int | None = None  # unknown until the first call: the engine does not tell a restarted reader
 
     def initialOffset(self):
         return {"lsn": -1}
 
     def latestOffset(self):
-        """The end of the last complete transaction within the admission limit."""
-        best, seen = self.at, 0
+        """The end of the last complete transaction within the admission limit; of all there is on the first call."""
+        limit = self.most if self.at is not None else 1 << 62
+        at = best = self.at if self.at is not None else -1
+        seen = 0
         open_: set[tuple] = set()
         rows = sorted(_heads(self.path, self.names), key=lambda r: r[1])
         for slot, lsn, tag, xid in rows:
@@ -93,13 +96,13 @@ class _Stream(_Read, DataSourceStreamReader):
                 open_ -= {x for x in open_ if x[0] == slot and x[1] is None} | {(slot, xid)}
             elif tag in _CLOSE:
                 open_.discard((slot, xid))
-            if lsn > self.at:
+            if lsn > at:
                 seen += 1
                 if not open_:
-                    if seen > self.most and best > self.at:
+                    if seen > limit and best > at:
                         break
                     best = lsn
-        self.at = max(self.at, best)
+        self.at = best
         return {"lsn": self.at}
 
     def partitions(self, start, end):
