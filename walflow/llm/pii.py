@@ -99,7 +99,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         done = right = _RUN_RIGHT.match(text, m.end()).end()
         while k < len(taken) and taken[k][1] <= left:
             k += 1
-        if any(s < right and e > left for s, e in taken[k : k + 8]):
+        if any(s <= left and right <= e for s, e in taken[k : k + 8]):
             continue
         run = text[left:right]
         n = sum(map(run.count, "0123456789"))

@@ -14,7 +14,7 @@ cut makes the widest one's halves differ by more than ``SLACK`` and the other
 does better.
 
 A group with more bytes than a whole leaf cannot stay together under this law:
-its rows are dealt over further points by a hash of doc_id.
+its rows are dealt over further points in turn.
 
 Defined cases: a null text counts no bytes plus 1, CRC-32 of nothing (0);
 repeated rows are separate rows of one group; null doc_ids sort first; an empty
@@ -118,8 +118,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     large = placed.where("pieces > 1").groupBy(*keys).agg(F.max("pieces").alias("n"), F.array_sort(F.collect_list(F.struct("piece", "shard"))).alias("at"))
     small = placed.where("pieces = 1").select(*keys, "shard")
     found = rows.join(small, keys, "left").join(F.broadcast(large), keys, "left")  # at most `shards` groups outweigh a leaf
-    pick = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
-    out = found.select("doc_id", "size", "text_crc32", F.coalesce("shard", F.col("at")[pick]["shard"]).cast("int").alias("shard"))
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(parallel(spark) * 4))
+    turn = F.row_number().over(Window.partitionBy(*keys, deal).orderBy("doc_id")) + deal  # round robin, so pieces are as equal as planned
+    hot = found.where("n is not null").withColumn("shard", F.col("at")[F.pmod(turn, F.col("n")).cast("int")]["shard"])
+    out = found.where("n is null").unionByName(hot).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
     # Gapless slots without one task a shard: number the rows of each part, then add what earlier parts hold.
     parts = parallel(spark) * 4
     out = save(out.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), "shard-placed")
