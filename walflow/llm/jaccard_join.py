@@ -35,7 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walflow.llm.common import NULL_ID, batches, encoded, read, save, text_bytes, small_batches, trim
@@ -219,7 +219,10 @@ def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) ->
         return pa.table({"a": pa.array(names[tied], pa.int64()), "b": pa.array(names[label[tied]], pa.int64())})
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").select("a", "b").distinct()
+    stars = save(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").select("a", "b").distinct(), "join-stars")
+    # A class has a root in each bucket: tie the roots to the least of them instead of the class to all.
+    rooted = stars.withColumn("root", F.min("b").over(Window.partitionBy("a")))
+    return rooted.select("a", F.col("root").alias("b")).unionByName(rooted.where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))).distinct()
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from walflow.llm.hashing import BYTE_BASE, Rolling, mix, slices, window_min
 
 THRESHOLD, GRAM, DIGITS = 400, 64, 4
 #: Contexts per sorted group at most, per bucket of groups on average, and in a group settled by comparison.
-GROUP, BUCKET, SMALL = 40_000, 3000, 8
+GROUP, BUCKET, SMALL = 20_000, 2000, 8
 
 
 def text_key(data: bytes) -> bytes:
@@ -76,7 +76,9 @@ def frame(contexts: list[bytes], lefts: np.ndarray, before: int, width: int) ->
     lens = np.array([len(c) for c in contexts])
     flat = np.zeros((len(contexts), width), dtype=np.uint8)
     column = np.arange(width)
-    flat[(column >= (before - lefts)[:, None]) & (column < (before - lefts + lens)[:, None])] = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    for a in range(0, len(contexts), 1000):  # the masks are as large as what they select
+        left, n = lefts[a : a + 1000, None], lens[a : a + 1000, None]
+        flat[a : a + 1000][(column >= before - left) & (column < before - left + n)] = np.frombuffer(b"".join(contexts[a : a + 1000]), dtype=np.uint8)
     return flat
 
 
