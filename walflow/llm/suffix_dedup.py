@@ -42,7 +42,7 @@ from walflow.llm.hashing import BYTE_BASE, Rolling, mix, slices, window_min
 
 THRESHOLD, GRAM, DIGITS = 400, 64, 4
 #: Contexts per sorted group at most, per bucket of groups on average, and in a group settled by comparison.
-GROUP, BUCKET, SMALL = 20_000, 2000, 8
+GROUP, BUCKET, SMALL = 40_000, 2000, 8
 
 
 def text_key(data: bytes) -> bytes:
