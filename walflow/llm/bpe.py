@@ -30,7 +30,7 @@ from walflow.llm.common import batches, encoded, read, sha, small_batches
 from walflow.llm.hashing import slices
 
 #: Stretches and pieces kept per worker process; a table is emptied when it is full.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 220_000
 #: Pieces up to this many symbols are merged many at a time, one tree per row of an array.
 WIDE = 64
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
