@@ -9,7 +9,9 @@ second-level partitions; as k differences cannot reach every group more than
 ``k2`` times, two similar sets agree on some subset of a group's partitions that
 leaves out k2 of them. The hash of each such subset is a signature: sets with k
 over ``ENUMERATE`` use plain groups (k2 = 0) if these hold ``SELECTIVE`` elements on
-average, all others groups of three partitions of which any two (k2 = 1). Signatures of nothing are left out wherever the others
+average, all others groups of three partitions of which any two (k2 = 1) or, where
+these would hold fewer than ``WIDER`` elements, five of which any three (k2 = 2).
+Signatures of nothing are left out wherever the others
 still guarantee a meeting, so sparse sets do not meet over empty partitions.
 
 Signatures travel in binary rows. Sets with a common signature are candidates of
@@ -31,6 +33,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from walflow.llm.common import NULL_ID, batches, encoded, read, save, text_bytes
 from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slices, words
 
 SHINGLE, PERCENT = 4, 85
-ENUMERATE, SELECTIVE, RARE, BLOCK = 16, 5.5, 32, 1000
+ENUMERATE, SELECTIVE, WIDER, RARE, BLOCK = 16, 5.5, 8, 32, 1000
 #: Text per chunk of signatures, per bucket of the exchange, and classes per verifying task.
 CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 16_000_000, 400, 2048
 
@@ -88,6 +91,17 @@ def class_key(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def shape(top: int, k: int) -> tuple[int, int]:
+    """(k2, n2): partitions left out and partitions of a group, for sets of up to `top` elements with k differences."""
+    if k > ENUMERATE and top >= SELECTIVE * k:
+        return 0, 1
+    return (1, 3) if 2 * top / 3 >= WIDER * k / 2 else (2, 5)
+
+
+#: Column by column, the partitions that a subset keeps.
+SUBSETS = {(k2, n2): np.array([[i in c for c in itertools.combinations(range(n2), n2 - k2)] for i in range(n2)], dtype=np.int64) for k2, n2 in ((0, 1), (1, 3), (2, 5))}
+
+
 def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set of hashes."""
     out = []
@@ -97,8 +111,7 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
         k = bands.differ(instance)
         if not k:
             continue  # only equal sets, which are one class
-        k2 = 0 if k > ENUMERATE and bands.tops[instance] >= SELECTIVE * k else 1
-        n2 = 2 * k2 + 1
+        k2, n2 = shape(int(bands.tops[instance]), k)
         need = k // (k2 + 1) + 1
         n1 = need + max(1, need // 20)
         cell = ((members >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
@@ -107,10 +120,9 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
         sums, counts = np.zeros(n1 * n2, np.uint64), np.zeros(n1 * n2, np.int64)
         sums[cell[order][at]] = np.add.reduceat(value[order], at)
         counts[cell[order][at]] = np.diff(np.append(at, len(order)))
-        sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
-        if k2:
-            sums, counts = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, counts.sum(axis=1, keepdims=True) - counts
-        name = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + (np.uint64(instance) << np.uint64(44))
+        kept = SUBSETS[k2, n2]
+        sums, counts = sums.reshape(n1, n2) @ kept.astype(np.uint64), counts.reshape(n1, n2) @ kept
+        name = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + (np.uint64(instance) << np.uint64(44))
         found = mix(mix(sums) ^ mix(name))
         whole = (counts > 0).all(axis=1).sum() >= need
         out.append(found[counts > 0] if whole else found.ravel())
