@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,10 @@ from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slice
 
 SHINGLE, PERCENT = 4, 85
 ENUMERATE, SELECTIVE, WIDER, RARE, BLOCK = 16, 5.5, 8, 32, 1000
-#: Text per chunk of signatures, per bucket of the exchange, and classes per verifying task.
-CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 16_000_000, 400, 2048
+#: Text per chunk of signatures, signature bytes per bucket of the exchange (by text and rate), classes per verifying task.
+CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 10_000_000, 400, 2048
+#: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
+SENT = 6
 
 
 class Bands:
@@ -129,6 +132,14 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def rate(bands: Bands) -> float:
+    """Signature bytes per byte of text, roughly: those of a set of 300, at six bytes a shingle."""
+    band = bands.of(300)
+    k = bands.differ(band)
+    k2, n2 = shape(int(bands.tops[band]), k)
+    return 2 * SUBSETS[k2, n2].shape[1] * (k // (k2 + 1) + 1) * SENT / (6 * 300)
+
+
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least vertex reachable from each of n vertices over edges a-b."""
     label = np.arange(n)
@@ -195,7 +206,7 @@ def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) ->
             blobs = []
             for a, b in zip(cut[:-1], cut[1:]):
                 used, counts = np.unique(owner[order[a:b]], return_counts=True)
-                blobs.append(len(used).to_bytes(8, "little") + keys[used].tobytes() + counts.astype("<i4").tobytes() + sigs[order[a:b]].tobytes())
+                blobs.append(len(used).to_bytes(8, "little") + keys[used].tobytes() + counts.astype("<i4").tobytes() + sigs[order[a:b]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in it:
@@ -216,7 +227,9 @@ def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) ->
         for blob in table.column("blob").to_pylist():
             n = int.from_bytes(blob[:8], "little")
             keys.append(np.repeat(np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i4", n, 8 + 8 * n)))
-            sigs.append(np.frombuffer(blob, "<u8", -1, 8 + 12 * n))
+            wide = np.zeros((len(keys[-1]), 8), dtype=np.uint8)
+            wide[:, :SENT] = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, SENT)
+            sigs.append(wide.view("<u8").ravel())
         keys, sigs = np.concatenate(keys), np.concatenate(sigs)
         order = np.argsort(sigs)
         sigs, keys = sigs[order], keys[order]
@@ -330,7 +343,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     meta = save(scan_sets(docs, width), "join-sets")
     ident = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "key")
     classes = save(meta.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(ident).alias("first")).select("cls", "copies", "first.id", "first.key"), "join-classes")
-    buckets = max(1, -(-text_bytes(docs) // BUCKET_BYTES))
+    buckets = max(1, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
     near = components(candidate_edges(docs, bands, width, buckets))
     counts = near.groupBy("label").agg(F.count("*").alias("n"))
     tasks = max(1, -(-near.count() // TASK_CLASSES))
