@@ -47,8 +47,8 @@ from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slice
 
 SHINGLE, PERCENT = 4, 85
 ENUMERATE, SELECTIVE, WIDER, RARE, BLOCK = 16, 5.5, 8, 32, 1000
-#: Text per chunk of signatures, signature bytes per bucket of the exchange (by text and rate), classes per verifying task.
-CHUNK_BYTES, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 12_000_000, 10_000_000, 400, 2048
+#: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange (by text and rate), classes per verifying task.
+CHUNK, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 1_000_000, 10_000_000, 400, 2048
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
 SENT = 6
 
@@ -215,10 +215,10 @@ def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) ->
                 for s in shingles(texts[a:b], width):
                     if len(s) and (k := class_key(s)) not in found:
                         found[k] = signatures(s, bands)
-                held += sum(map(len, texts[a:b]))
-                if held > CHUNK_BYTES:
-                    yield out()
-                    found, held = {}, 0
+                        held += len(found[k])
+                        if held > CHUNK:
+                            yield out()
+                            found, held = {}, 0
         if found:
             yield out()
 
