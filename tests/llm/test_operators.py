@@ -81,8 +81,8 @@ def sets_of(text, width):
     return frozenset(tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)) if len(ws) >= width else frozenset([tuple(ws)] if ws else [])
 
 
-@pytest.mark.parametrize("width, percent, block", [(4, 85, 1000), (4, 85, 3), (5, 80, 1000)])
-def test_jaccard_join(spark, width, percent, block):
+@pytest.mark.parametrize("width, percent, block, small, sketch_bytes", [(4, 85, 1000, 64, 4_000_000), (4, 85, 3, 1, 4_000_000), (5, 80, 1000, 1, 300)])
+def test_jaccard_join(spark, width, percent, block, small, sketch_bytes):
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
     docs = []
@@ -121,10 +121,34 @@ def test_jaccard_join(spark, width, percent, block):
         s = sets_of(t, width)
         c = least[find(s)] if s else i
         expected.append((i, len(s), None if c == 1 << 62 else c, links[s] + len(members[s]) - 1 if s else 0))
-    got = jaccard_join.join(frame(spark, docs), width, percent, block).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    got = jaccard_join.join(frame(spark, docs), width, percent, block, small, sketch_bytes).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_sketches_lose_no_pair(percent):
+    random.seed(percent)
+    base = [random.getrandbits(64) for _ in range(900)]
+    sets = []
+    for _ in range(120):
+        a, n = random.choice([0, 0, 300, 600]), random.choice([1, 2, 30, 60, 70, 100, 128, 130, 250])
+        some = {*base[a : a + n]}
+        for _ in range(random.randint(0, n // 5)):
+            some.discard(random.choice(base))
+            some.add(random.getrandbits(64))
+        sets.append(np.unique(np.array(sorted(some), dtype=np.uint64)))
+    sizes, sketches = np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets]
+    label = jaccard_join.tied_sketches(sizes, sketches, None, percent)
+    side = np.array([k % 2 for k in range(len(sets))])
+    across = jaccard_join.tied_sketches(sizes, sketches, side, percent)
+    assert len(set(label.tolist())) > 1
+    for x in range(len(sets)):
+        for y in range(x):
+            n = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * n >= percent * (sizes[x] + sizes[y] - n):
+                assert label[x] == label[y] and (side[x] == side[y] or across[x] == across[y])
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{k}" for k in range(100))
     docs = [(4, base), (2, base), (2, base), (9, base.replace("w50", "z")), (5, "else"), (6, None), (7, "")]

@@ -15,13 +15,19 @@ Signatures of nothing are left out wherever the others
 still guarantee a meeting, so sparse sets do not meet over empty partitions.
 
 Signatures travel in binary rows. Sets with a common signature are candidates of
-each other; candidate components are found by label propagation, and within a
-component every pair is verified exactly: intersections are counted from an inverted
+each other, and candidate components are found by label propagation. A component of
+more than ``SMALL`` classes is split first by parity sketches: a set's sketch tells for
+each cell of its hash domain whether it holds an odd number of elements, and where two
+sketches differ, so do the sets; sets whose sketches differ in more cells than
+similarity allows cannot be similar, and the others are tied. The bound holds for
+every pair, so no link is lost. What is left is mostly real groups; within each,
+every pair is verified exactly: intersections are counted from an inverted
 list of the elements in up to ``RARE`` sets and, for commoner elements, come from
 products of the component's incidence matrix. A component of more than ``BLOCK``
 classes is verified by pairs of salted blocks in separate tasks, so no task holds
-more than two blocks. Tasks report a spanning forest and link counts, never pairs.
-A second label propagation over the verified links gives the components.
+more than two blocks; sketches are compared by pairs of salted blocks of like size
+bands likewise. Tasks report a spanning forest and link counts, never pairs.
+A last label propagation over the verified links gives the components.
 
 Defined cases: null or word-less texts have an empty set (n_shingles 0), no link
 and their own component; texts with fewer words are one shingle; equal sets are
@@ -51,6 +57,8 @@ ENUMERATE, SELECTIVE, WIDER, RARE, BLOCK = 16, 5.5, 8, 32, 1000
 CHUNK, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 1_000_000, 10_000_000, 400, 2048
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
 SENT = 6
+#: Candidate components of more classes are split by sketches, in blocks of so many sketch bytes; edges a task gathers before it reduces them.
+SMALL, SKETCH_BYTES, GATHER = 64, 4_000_000, 2_000_000
 
 
 class Bands:
@@ -132,6 +140,76 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """One bit for each of a power of two of cells, at least two an element: whether it holds an odd number of elements."""
+    cells = max(64, 1 << (2 * len(members) - 1).bit_length())
+    at = mix(members ^ np.uint64(0x9E3779B97F4A7C15)) & np.uint64(cells - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one a row, in words of 64 cells) brought to fewer cells."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def near_sketches(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray, percent: int, same: bool):
+    """(i, places in `right`) of the sketches close enough for similar sets; `right` is in order of size; `same`: each pair once."""
+    right = np.ascontiguousarray(right.T)
+    half = max(1, len(right) // 2)
+    low = np.searchsorted(right_sizes, -(-percent * left_sizes // 100))
+    high = np.searchsorted(right_sizes, left_sizes * 100 // percent, side="right")
+    for i, row in enumerate(left[:, :, None]):
+        a, b = (max(int(low[i]), i + 1) if same else int(low[i])), int(high[i])
+        if a >= b:
+            continue
+        limit = (100 - percent) * (left_sizes[i] + right_sizes[a:b]) // (100 + percent)
+        differ = np.bitwise_count(right[:half, a:b] ^ row[:half]).sum(axis=0, dtype=np.uint32)
+        hits = np.flatnonzero(differ <= limit)
+        if len(hits) and half < len(right):
+            differ = differ[hits] + np.bitwise_count(right[half:, a + hits] ^ row[half:]).sum(axis=0, dtype=np.uint32)
+            hits = hits[differ <= limit[hits]]
+        if len(hits):
+            yield i, a + hits
+
+
+def tied_sketches(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """The least place that each set is tied to by near sketches; with `side`, only pairs of different sides are looked at."""
+    label = np.arange(len(sizes))
+    gathered, held = [], 0
+    width = np.array([len(x) // 8 for x in sketches])
+    order = np.argsort(sizes, kind="stable")
+
+    def reduce():
+        nonlocal label, gathered, held
+        a, b = (np.concatenate(x) for x in zip(*gathered))
+        label = local_components(np.concatenate([a, np.arange(len(label))]), np.concatenate([b, label]), len(label))
+        gathered, held = [], 0
+
+    def rows(at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join([sketches[k] for k in at]), "<u8").reshape(len(at), -1)
+
+    groups = [(w, s, order[(width[order] == w) & (side[order] == s if side is not None else True)]) for w in np.unique(width) for s in ((0, 1) if side is not None else (0,))]
+    for x, (w, s, left) in enumerate(groups):
+        if not len(left):
+            continue
+        short = rows(left)
+        for v, r, right in groups[x:]:
+            same = v == w and r == s
+            if not len(right) or (side is not None and r == s) or 100 * sizes[left[-1]] < percent * sizes[right[0]]:
+                continue
+            for i, hits in near_sketches(short, sizes[left], folded(rows(right), w), sizes[right], percent, same):
+                gathered.append((np.full(len(hits), left[i]), right[hits]))
+                held += len(hits)
+                if held > GATHER:
+                    reduce()
+    if gathered:
+        reduce()
+    return label
+
+
 def rate(bands: Bands) -> float:
     """Signature bytes per byte of text, roughly: those of a set of 300, at six bytes a shingle."""
     band = bands.of(300)
@@ -171,8 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def scan_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key (of the text), cls and n_shingles of every row; cls is null for an empty set."""
+def scan_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """doc_id, key (of the text), cls, n_shingles, band and sketch of every row; cls, band and sketch are null for an empty set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = encoded(batch.column(1))
@@ -181,11 +259,12 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
             [
                 batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
                 pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bands.of(len(s)) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
             ],
-            ["doc_id", "key", "cls", "n_shingles"],
+            ["doc_id", "key", "cls", "n_shingles", "band", "sketch"],
         )
 
-    return docs.mapInArrow(batches(run), "doc_id long, key binary, cls long, n_shingles long")
+    return docs.mapInArrow(batches(run), "doc_id long, key binary, cls long, n_shingles long, band long, sketch binary")
 
 
 def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) -> DataFrame:
@@ -250,6 +329,43 @@ def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) ->
     return rooted.select("a", F.col("root").alias("b")).unionByName(rooted.where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))).distinct()
 
 
+def split(near: DataFrame, classes: DataFrame, percent: int, small: int = SMALL, block: int = SKETCH_BYTES) -> DataFrame:
+    """(v, label) of candidate components, those of more than `small` classes split where sketches rule out every link."""
+    counts = near.groupBy("label").agg(F.count("*").alias("n"))
+    large = near.join(counts.where(F.col("n") > small).select("label"), "label")
+    rows = save(large.join(classes.select(F.col("cls").alias("v"), "size", "band", "sketch"), "v"), "join-sketches")
+    weights = rows.groupBy("label", "band").agg(F.sum(F.length("sketch")).alias("weight"))
+    weights = weights.withColumn("whole", F.sum("weight").over(Window.partitionBy("label")) <= block)
+    # A component that fits a block is one task; another is cut by size band, and a band into salted blocks.
+    cells = save(weights.select("label", "band", "whole", F.ceil(F.col("weight") / block).cast("long").alias("blocks")), "join-cells")
+    above = cells.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = cells.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    cells = cells.join(above, ["label", "band"], "left").join(below, ["label", "band"], "left")
+    rows = rows.join(cells, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+
+    def meetings(others: str, at: str) -> str:
+        return f"transform(if({others} is null, cast(array() as array<bigint>), sequence(0L, {others} - 1)), o -> {at})"
+
+    shape_of = "named_struct('low', {0}, 'high', {1}, 'i', {2}, 'j', {3}, 'side', {4})"
+    whole = "array(" + shape_of.format("-1L", "-1L", "0L", "0L", "0") + ")"
+    own = meetings("blocks", shape_of.format("band", "band", "least(block, o)", "greatest(block, o)", "if(block <= o, 0, 1)"))
+    up = meetings("above", shape_of.format("band", "band + 1", "block", "o", "0"))
+    down = meetings("below", shape_of.format("band - 1", "band", "o", "block", "1"))
+    sent = rows.withColumn("m", F.expr(f"explode(if(whole, {whole}, concat({own}, {up}, {down})))")).select("label", "m.*", "v", "size", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high, i, j = (table.column(c)[0].as_py() for c in ("low", "high", "i", "j"))
+        v, sizes, side = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("v", "size", "side"))
+        label = tied_sketches(sizes, table.column("sketch").to_pylist(), None if (low, i) == (high, j) else side, percent)
+        trim()
+        tied = label != np.arange(len(label))
+        return pa.table({"a": v[tied], "b": v[label[tied]]})
+
+    ties = sent.groupBy("label", "low", "high", "i", "j").applyInArrow(run, "a long, b long")
+    others = near.join(counts.where(F.col("n") <= small).select("label"), "label").select("v", "label")
+    return save(components(ties).unionByName(others), "join-split")
+
+
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of similar sets: i < j within `left`, or i in `left` and j in `right`."""
     sets = left + (right or [])
@@ -332,7 +448,7 @@ def verify(found: DataFrame, percent: int, width: int) -> DataFrame:
     return found.groupBy("t", "i", "j").applyInArrow(run, LINKS)
 
 
-def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL, sketch_bytes: int = SKETCH_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, key (MD5 of the text) and component for every row of docs (doc_id, text).
 
     n_links counts the other rows whose set is similar to the row's own; component names
@@ -340,11 +456,14 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     """
     docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     bands = Bands(percent)
-    meta = save(scan_sets(docs, width), "join-sets")
+    meta = save(scan_sets(docs, width, bands), "join-sets")
     ident = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "key")
-    classes = save(meta.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(ident).alias("first")).select("cls", "copies", "first.id", "first.key"), "join-classes")
+    classes = meta.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(ident).alias("first"), *(F.any_value(c).alias(c) for c in ("n_shingles", "band", "sketch")))
+    classes = save(classes.select("cls", "copies", "first.id", "first.key", F.col("n_shingles").alias("size"), "band", "sketch"), "join-classes")
     buckets = max(1, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
-    near = components(candidate_edges(docs, bands, width, buckets))
+    near = split(components(candidate_edges(docs, bands, width, buckets)), classes, percent, small, sketch_bytes)
+    classes = classes.drop("size", "band", "sketch")
+    meta = meta.drop("band", "sketch")
     counts = near.groupBy("label").agg(F.count("*").alias("n"))
     tasks = max(1, -(-near.count() // TASK_CLASSES))
     placed = near.join(counts, "label").select(F.col("v").alias("cls"), F.col("label").alias("comp"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
