@@ -220,6 +220,18 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("lettered", [5, 1])
+def test_language_sample_is_balanced(spark, monkeypatch, lettered):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda counts, labels: seen.append(collections.Counter(labels)))
+    i = F.col("id")
+    lang = F.when(i % 1000 == 0, "rare").when(i % 3 == 0, "some").otherwise("most")
+    text = F.when((lang != "rare") & (i % 5 >= lettered), F.lit("12 !?")).otherwise(F.concat(F.lit("word "), i.cast("string")))
+    docs = spark.range(60000).select(i.alias("doc_id"), text.alias("text"), lang.alias("lang"))
+    langid.train(docs, 60)
+    assert docs.where("lang = 'rare'").count() == 60 and seen == [{"rare": 20, "some": 20, "most": 20}]
+
+
 def test_decontamination(spark):
     random.seed(9)
     word = lambda: "".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(random.randint(1, 4)))

@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walflow.llm.common import batches, encoded, read, small_batches
@@ -34,6 +34,8 @@ NGRAMS = (2, 3, 4)
 DIM, EPOCHS, BATCH, RATE = 16, 20, 32, 20.0
 LEAST_SCORE, PRECISION = 0.4, 0.99
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same in Spark's regular expressions, up to the Unicode version.
+_LIKELY_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -127,13 +129,14 @@ def held_out():
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled rows of docs (doc_id, text, lang) that are not held out, the same number per lang."""
-    known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(_LIKELY_LETTER)).select("doc_id", "text", "lang")
     sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     each = max(1, rows // len(sizes))
+    # More than enough of each lang by place, so that its `each` smallest are among them.
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1, 1.5 * each / n)) + 1)) for lang, n in sizes.items()], F.lit(0))
+    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1, (2 * each + 30) / n)) + 1)) for lang, n in sizes.items()], F.lit(0))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.decode("utf-8", "replace") for t in encoded(batch.column(2))]
@@ -146,7 +149,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sparse, pa.binary())], ["place", "lang", "sparse"])
 
     picked = known.where(place < wanted).select(place.alias("place"), "lang", "text")
-    sample = picked.mapInArrow(batches(run), "place long, lang string, sparse binary").orderBy("place", "lang", "sparse").limit(rows).collect()
+    found = picked.mapInArrow(batches(run), "place long, lang string, sparse binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "sparse"))
+    sample = found.withColumn("nth", nth).where(F.col("nth") <= each).orderBy("place", "lang", "sparse").limit(rows).collect()
     counts = np.zeros((len(sample), BUCKETS), dtype=np.float32)
     for i, r in enumerate(sample):
         at, n = np.frombuffer(r.sparse, dtype=np.int32).reshape(2, -1)
