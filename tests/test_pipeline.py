@@ -91,6 +91,14 @@ def test_queue_and_positions(spark):
     assert tuple(positions.tracker(u).first())[1:] == (200, 150, 120)
 
 
+def test_commit_order_is_whole(spark):
+    rows = [("s", xid, xid * 7919 % 2003 + (1 << 55) if xid % 50 else None) for xid in range(3000)]  # with ties and pending ones
+    got = queue.commit_order(spark.createDataFrame(rows, "slot string, xid long, commit_lsn long")).collect()
+    expected = sorted((lsn, slot, xid) for slot, xid, lsn in rows if lsn is not None)
+    assert [(r.place, r.commit_lsn, r.slot, r.xid) for r in sorted(got, key=lambda r: r.place)] == [(k + 1, *x) for k, x in enumerate(expected)]
+    assert queue.commit_order(spark.createDataFrame([], "slot string, xid long, commit_lsn long")).count() == 0
+
+
 def test_lsn_text(spark):
     df = spark.createDataFrame([(0x100000000, "1/0"), (0x1ABCDEF00, "1/ABCDEF00")], "n long, t string")
     assert all(r[0] and r[1] for r in df.select(L.format_lsn(F.col("n")) == F.col("t"), L.parse_lsn(F.col("t")) == F.col("n")).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,11 @@ def _ints(spark, rows, ddl):
     return spark.createDataFrame(rows, ddl)
 
 
+def _shared(spark):
+    """The folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+
+
 # Shared SQL of the change logs.
 _O = "o AS (SELECT *, (o_orderkey * 7919) % (SELECT count(*) FROM orders) AS p, (SELECT count(*) FROM orders) AS n FROM orders)"
 _TX = f"{_O}, tx AS (SELECT 2 * o_orderkey + 1 AS xid, 1020 + 100 * p AS commit_lsn FROM o UNION ALL SELECT 2 * o_orderkey + 2, 1020 + 100 * (n + p) FROM o WHERE o_orderstatus <> 'O')"
@@ -132,6 +138,14 @@ def commit_order(spark, d):
     return first.select("xid", "commit_lsn", F.row_number().over(Window.orderBy("commit_lsn")).alias("place"))
 
 
+@query("cdc10b_commit_order_all", f"WITH {_TX} SELECT xid, commit_lsn, row_number() OVER (ORDER BY commit_lsn) AS place FROM tx")
+def commit_order_all(spark, d):
+    """The place of every transaction; cdc10 and its SQL stop at 1,000."""
+    where = _shared(spark) + f"/walflow_order_{uuid.uuid4().hex}"
+    _order_txns(spark, d).select("slot", "xid", "commit_lsn").write.parquet(where)
+    return queue.commit_order(spark.read.parquet(where)).select("xid", "commit_lsn", "place")
+
+
 @query("cdc11_ready_threshold", f"WITH {_TX} SELECT xid, commit_lsn FROM tx WHERE commit_lsn <= 5000 + 300000")
 def ready_threshold(spark, d):
     return queue.ready(_order_txns(spark, d), 5000, 300000).select("xid", "commit_lsn")
