@@ -258,6 +258,19 @@ def test_decontamination(spark):
         assert sorted(d for d, _ in index.search(terms)) == sorted(d for d, s in scores.items() if s >= index.thresholds[d] - 1e-9)
 
 
+def test_decontamination_chunks_do_not_show(spark, monkeypatch):
+    random.seed(10)
+    word = lambda: "".join(random.choice("bcdfg") + random.choice("aeiou") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(random.randint(10, 90))) + ".") for i in range(60)] + [(7, "A B. c."), (900, None), (901, "!")]
+    docs = [(i, f"{' '.join(word() for _ in range(200))} {items[i][1]} {items[i + 1][1]}") for i in range(0, 58, 2)]
+    bench = spark.createDataFrame([*items, items[3]], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.find(frame(spark, docs), bench).collect()))
+    monkeypatch.setattr(decontaminate, "CHUNK_ITEMS", 20)
+    many = sorted(map(tuple, decontaminate.find(frame(spark, docs), bench).collect()))
+    assert len(one) >= 58 and [x[:2] for x in many] == [x[:2] for x in one]
+    assert np.allclose(np.array([x[2:] for x in many]), np.array([x[2:] for x in one]), rtol=1e-12)
+
+
 def test_pii_base():
     random.seed(2)
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

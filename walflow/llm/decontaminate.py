@@ -14,9 +14,11 @@ or the last third of a one-sentence item) are both covered to ``OVERLAP`` by
 ``SHINGLE``-word shingles (shorter ones for parts under 15 words) in the passage.
 
 Passages are two strides long and a stride is at least the longest item of the
-chunk, so every item lies whole within a passage. Items are indexed in chunks of
-``CHUNK_ITEMS``; only one chunk is broadcast at a time, and further chunks are
-further passes over the documents, so nothing unbounded is broadcast.
+benchmark, so every item lies whole within a passage. Items are indexed in chunks
+of ``CHUNK_ITEMS``; only one chunk is broadcast at a time, and further chunks are
+further passes over the documents, so nothing unbounded is broadcast. Item count,
+mean and greatest length and document frequencies are those of all items, so the
+chunks do not show in the result.
 
 Defined cases: null or empty texts, of documents or items, match nothing; equal
 items are each reported; repeated rows are kept; very long texts are cut into
@@ -27,14 +29,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Mapping
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read, small_batches
+from walflow.llm.common import batches, encoded, read, save, small_batches
 from walflow.llm.hashing import BYTE_BASE, LOWER, NOT_WORD, Rolling, slices, words
 
 K1, B = 1.2, 0.75
@@ -70,14 +75,25 @@ def coverage(part: list[bytes], text: bytes) -> float:
     return sum(g in text for g in grams) / len(grams)
 
 
+class Statistics(NamedTuple):
+    """Of all items of a benchmark; `df` may be cut to the terms in use."""
+
+    items: int
+    words: int
+    longest: int
+    df: Mapping[bytes, int]
+
+
 class Index:
-    """BM25 postings of a chunk of items with block maxima."""
+    """BM25 postings of a chunk of items with block maxima, scored by the statistics of all items (by default, these)."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], stats: Statistics | None = None):
         self.items = sorted((i, t) for i, t in items if tokens(t))
         docs = [tokens(t) for _, t in self.items]
         self.parts = [split_item(t) for _, t in self.items]
-        mean = sum(map(len, docs)) / len(docs) if docs else 1.0
+        if stats is None:
+            stats = Statistics(len(docs), sum(map(len, docs)), max(map(len, docs), default=0), Counter(w for ws in docs for w in set(ws)))
+        mean = stats.words / stats.items if docs else 1.0
         tf: dict[bytes, dict[int, int]] = {}
         for d, ws in enumerate(docs):
             for w in ws:
@@ -86,7 +102,7 @@ class Index:
         self.postings: dict[bytes, tuple[list[int], list[float], list[float]]] = {}
         own = [0.0] * len(docs)
         for w, by in tf.items():
-            idf = math.log(1 + (len(docs) - len(by) + 0.5) / (len(by) + 0.5))
+            idf = math.log(1 + (stats.items - stats.df[w] + 0.5) / (stats.df[w] + 0.5))
             ids = sorted(by)
             impact = [idf * by[d] * (K1 + 1) / (by[d] + K1 * (1 - B + B * len(docs[d]) / mean)) for d in ids]
             for d, x in zip(ids, impact):
@@ -94,7 +110,7 @@ class Index:
             self.postings[w] = ids, impact, [max(impact[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
         self.thresholds = [RETRIEVE * x for x in own]
         self.least = min(self.thresholds, default=math.inf)
-        self.stride = max([LEAST_STRIDE, *map(len, docs)])
+        self.stride = max(LEAST_STRIDE, stats.longest)
         # Each item's essential postings by term hash, and what its other terms can add at most.
         order = sorted(self.postings, key=lambda w: (-len(self.postings[w][0]), w))
         self.rest = np.zeros(len(docs))
@@ -221,13 +237,27 @@ class Index:
 
 
 def _chunks(items: DataFrame):
-    """Indexes of CHUNK_ITEMS items each; one chunk at a time is in the driver's memory."""
+    """Indexes of CHUNK_ITEMS items each; one chunk at a time, with its terms' frequencies, is in the driver's memory."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = items.count()
     parts = max(1, -(-n // CHUNK_ITEMS))
+    if parts == 1:
+        yield Index([(r.item_id, r.text.encode()) for r in items.distinct().collect()])
+        return
+    rows = items.distinct().withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [tokens(t) for t in encoded(batch.column(0))]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(len, found), pa.int64()), pa.array([sorted(set(ws)) for ws in found], pa.list_(pa.binary()))], ["part", "words", "terms"])
+
+    counted = save(rows.select("text", "part").mapInArrow(batches(run), "part long, words long, terms array<binary>").where("words > 0"), "decontamination-terms")
+    total = counted.agg(F.count("*").alias("items"), F.sum("words").alias("words"), F.max("words").alias("longest")).first()
+    terms = counted.select("part", F.explode("terms").alias("term"))
+    df = save(terms.groupBy("term").agg(F.count("*").alias("df")), "decontamination-df")
     for part in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Index([(r.item_id, r.text.encode()) for r in rows.distinct().collect()])
+        chunk = [(r.item_id, r.text.encode()) for r in rows.where(F.col("part") == part).collect()]
+        known = {bytes(r.term): r.df for r in df.join(terms.where(F.col("part") == part), "term", "left_semi").collect()}
+        yield Index(chunk, Statistics(total["items"], total["words"] or 0, total["longest"] or 0, known))
 
 
 LEAK = "array<struct<item_id long, score double, question double, answer double>>"
