@@ -1,4 +1,4 @@
-"""Substring dedup: De Bruijn compaction of repeated word windows.
+"""Substring dedup: runs of repeated word windows, hashed and dealt as edges of a De Bruijn graph.
 
 Every window of ``WINDOW`` words is an edge of a De Bruijn graph. As in compacting
 assemblers, edges are dealt out by minimizer: the least hash among a window's
@@ -11,7 +11,9 @@ cover the words to remove.
 
 Edges are compared by a 64-bit hash of their words and 32 bits of their minimizer's
 hash (equal windows have equal minimizers), 96 bits in all; what they say is judged
-on the input alone.
+on the input alone. The graph itself is not built: there are no nodes, branching
+test or compaction join, a path is a run of repeats within one document, and spans
+are not verified at their source (see README).
 
 Skew: each chunk of documents settles its own repeats first (the first document of
 the chunk that has an edge makes all later ones repeats) and sends on one document
