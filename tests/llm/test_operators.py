@@ -300,6 +300,20 @@ def test_pii_bootstrap(spark):
     assert {r.doc_id: r.text for r in clean.collect()}[30] == "other text secret = <context> end"
 
 
+def test_pii_context_is_whole():
+    random.seed(12)
+    token = re.compile(r"[^\W\d_]+|[^\w\s]")
+    parts = ["secret", " = ", " ", " " * 70, "\n", "é²", "_", "½a", "12", "7" * 30, "ab12cd34", "x" * 60, "k" * 300 + "12345", "me@a.co", "10.0.0.1", "-", "/", "٣", "İ"]
+    for _ in range(600):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 25)))
+        base = pii.base_spans(text)
+        for start, end, _, patterns in pii.candidates(text, base):
+            before = [t.lower() for t in token.findall(text, 0, start)][-3:]
+            assert patterns[: len(before)] == [" ".join(before[-n:]) for n in range(1, len(before) + 1)]
+            if (start, end) not in {(s, e) for s, _, e in base}:
+                assert re.match("[A-Za-z0-9_+/-]*", text[start:]).end() == end - start and not re.search(r"[A-Za-z0-9_+/-]\Z", text[:start])
+
+
 def test_media(spark):
     items = media.parse_sequence('<html><head><title>no</title></head><body><p>One &amp; two</p><figure><img src="a.png"><figcaption>Cap <b>tion</b></figcaption></figure>tail<img src="sha256:ff" alt="alt"></body>')
     assert [(i["position"], i["kind"], i["text"], i["caption"]) for i in items] == [(0, "text", "One & two", None), (1, "media", "a.png", "Cap tion"), (2, "text", "tail", None), (3, "media", "sha256:ff", "alt")]

@@ -45,9 +45,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_RUN_LEFT = re.compile(r"[A-Za-z0-9_+/-]*$")
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
 _RUN_RIGHT = re.compile(r"[A-Za-z0-9_+/-]*")
-_TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]")
 
 
 def luhn(digits: str) -> bool:
@@ -86,6 +85,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def tokens_before(text: str, start: int, known: dict[int, list[str]]) -> list[str]:
+    """The last three matches of `[^\\W\\d_]+|[^\\w\\s]` in text[:start], lower-cased, found by walking back; `known`
+    keeps the answers by start, so that a long stretch without tokens is walked once."""
+    out: list[str] = []
+    at = start
+    while at > 0 and len(out) < 3:
+        if at in known:
+            out += reversed(known[at])
+            break
+        end, at = at, at - 1
+        c = text[at]
+        if c.isalnum() and not c.isdecimal():
+            while at > 0 and text[at - 1].isalnum() and not text[at - 1].isdecimal():
+                at -= 1
+            out.append(text[at:end].lower())
+        elif not (c.isdecimal() or c == "_" or c.isspace()):
+            out.append(c.lower())
+    known[start] = out[2::-1]
+    return known[start]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, list[str]]]:
     """(start, end, seed, patterns) of the identifier runs; base entities are seeds and marked by their own span."""
     out: list[tuple[int, int, bool, list[str]]] = []
@@ -95,7 +115,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for m in _DIGITS.finditer(text):
         if m.start() < done:
             continue
-        left = _RUN_LEFT.search(text, max(done, m.start() - 256), m.start()).start()
+        left = m.start()
+        while left > done and text[left - 1] in _RUN:
+            left -= 1
         done = right = _RUN_RIGHT.match(text, m.end()).end()
         while k < len(taken) and taken[k][1] <= left:
             k += 1
@@ -105,8 +127,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         n = sum(map(run.count, "0123456789"))
         if len(run) >= LEAST_CHARS and n >= LEAST_DIGITS:
             out.append((left, right, len(run) >= SEED_CHARS and LEAST_DIGITS <= n < len(run), []))
+    known: dict[int, list[str]] = {}
     for start, end, seed in [*runs, *[c[:3] for c in out]]:
-        before = [t.lower() for t in _TOKEN.findall(text, max(0, start - 48), start)][-3:]
+        before = tokens_before(text, start, known)
         patterns = [" ".join(before[-n:]) for n in range(1, len(before) + 1)]
         if (start, end) in taken:
             out.append((start, end, True, patterns))
