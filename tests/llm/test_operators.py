@@ -232,6 +232,16 @@ def test_language_sample_is_balanced(spark, monkeypatch, lettered):
     assert docs.where("lang = 'rare'").count() == 60 and seen == [{"rare": 20, "some": 20, "most": 20}]
 
 
+def test_every_language_is_learned(spark):
+    i = F.col("id")
+    lang = F.concat(F.lit("l"), (i % 230).cast("string"))
+    docs = spark.range(230 * 12).select(i.alias("doc_id"), F.concat(F.lit("word "), lang).alias("text"), lang.alias("lang"))
+    assert len(langid.train(docs, 230).langs) == len(langid.train(docs, 100).langs) == 230
+    y = ["a"] * 30 + ["b"]
+    lost = [seed for seed in range(20) if langid.fit(np.eye(31, langid.BUCKETS, dtype=np.float32) * 9, y, seed).logits(np.eye(1, langid.BUCKETS, 30, dtype=np.float32)[0] * 9).argmax() != 1]
+    assert not lost  # one row alone is never held back
+
+
 def test_decontamination(spark):
     random.seed(9)
     word = lambda: "".join(random.choice("bcdfglmnprst") + random.choice("aeiou") for _ in range(random.randint(1, 4)))

@@ -14,7 +14,9 @@ letter or its best probability is under the least threshold (at least
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and
 rejected; rows without lang are predicted but never learned from; with no
-labelled row everything is ``und``; ties go to the first lang in sort order.
+labelled row everything is ``und``; ties go to the first lang in sort order; there
+is no bound on the number of langs, and the driver and the model grow with it (32 KB
+a lang in the model, 32 KB a sampled row).
 """
 
 from __future__ import annotations
@@ -91,6 +93,8 @@ def fit(counts: np.ndarray, labels: list[str], seed: int = 7) -> Model:
     x = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
     order = rng.permutation(len(y))
     held, train = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 10 else (order, order)
+    alone = ~np.isin(y[held], y[train])  # a lang is learned before it is held back
+    held, train = held[~alone], np.concatenate([train, held[alone]])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), dtype=np.float32)
@@ -128,15 +132,15 @@ def held_out():
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most `rows` labelled rows of docs (doc_id, text, lang) that are not held out, the same number per lang."""
+    """Fits on at most `rows` labelled rows of docs (doc_id, text, lang) that are not held out, the same number per lang; one each if there are more langs than `rows`."""
     known = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(_LIKELY_LETTER)).select("doc_id", "text", "lang")
-    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     each = max(1, rows // len(sizes))
     # More than enough of each lang by place, so that its `each` smallest are among them.
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    wanted = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1, (2 * each + 30) / n)) + 1)) for lang, n in sizes.items()], F.lit(0))
+    wanted = docs.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1, (2 * each + 30) / n)) + 1) for lang, n in sizes.items()], "lang string, wanted long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.decode("utf-8", "replace") for t in encoded(batch.column(2))]
@@ -148,10 +152,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             sparse.append(np.stack([at, f[at]]).astype(np.int32).tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sparse, pa.binary())], ["place", "lang", "sparse"])
 
-    picked = known.where(place < wanted).select(place.alias("place"), "lang", "text")
+    picked = known.join(F.broadcast(wanted), "lang").where(place < F.col("wanted")).select(place.alias("place"), "lang", "text")
     found = picked.mapInArrow(batches(run), "place long, lang string, sparse binary")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "sparse"))
-    sample = found.withColumn("nth", nth).where(F.col("nth") <= each).orderBy("place", "lang", "sparse").limit(rows).collect()
+    sample = found.withColumn("nth", nth).where(F.col("nth") <= each).orderBy("place", "lang", "sparse").collect()
     counts = np.zeros((len(sample), BUCKETS), dtype=np.float32)
     for i, r in enumerate(sample):
         at, n = np.frombuffer(r.sparse, dtype=np.int32).reshape(2, -1)
