@@ -131,3 +131,24 @@ def test_stream_equals_batch_and_restart(spark, tmp_path):
     second = run()
     whole = sorted(tuple(r) for r in sinks.to_sink_rows(replay(df).events).drop("ts").collect())
     assert len(first) == 13 and second == whole and len(whole) == 29
+
+
+def test_stream_in_limited_batches(spark, tmp_path):
+    payloads = [USERS]
+    for x in range(1, 30):
+        payloads += [w.begin(x), w.insert(16384, [str(x), "n", "t", "1"]), w.commit(len(payloads), 1)]
+    df = frames(spark, payloads).coalesce(1)
+    df.where("seq < 4").write.parquet(str(tmp_path / "frames"))
+    spark.dataSource.register(WalSource)
+    stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=30).load()
+    query = start_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), trigger={"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        df.where("seq >= 4").write.mode("append").parquet(str(tmp_path / "frames"))
+        query.processAllAvailable()
+        sizes = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    finally:
+        query.stop()
+    got = sorted(tuple(r) for r in sinks.read_changes(spark, str(tmp_path / "out")).drop("ts").collect())
+    assert got == sorted(tuple(r) for r in sinks.to_sink_rows(replay(df).events).drop("ts").collect()) and len(got) == 29
+    assert len(sizes) >= 4

@@ -298,7 +298,8 @@ def lineitem_replay(spark, d):
 
 @query("cdc30_stream_equals_batch", f"WITH {_E} SELECT base + 10 * (1 + event_id % 5) AS lsn, 100000 + t AS xid, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op FROM e WHERE NOT gone")
 def stream_equals_batch(spark, d):
-    """The same log through the streaming source in small micro-batches, written and read back."""
+    """The same log through the streaming source, written and read back. All of it is the backlog of a start, which the
+    source delivers as one micro-batch whatever max_messages says; cuts between batches are tested in tests/test_pipeline.py."""
     import tempfile
 
     from walflow.sources.wal import WalSource
