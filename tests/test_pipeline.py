@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from walflow.functions import lsn as L
@@ -7,9 +9,9 @@ from walflow.functions import wire as w
 from walflow.functions.values import to_json
 from walflow.operators import positions, queue, sinks
 from walflow.operators.parse import parse_headers, parse_messages
-from walflow.operators.transactions import buffer_stats, transactions
+from walflow.operators.transactions import assemble, buffer_stats, transactions
 from walflow.sources.wal import WalSource, connection, slot_names
-from walflow.streaming.stream import replay, start_stream
+from walflow.streaming.stream import drain, replay, start_stream
 
 DDL = "slot string, seq long, start_lsn long, end_lsn long, send_time long, payload binary"
 USERS = w.relation(16384, "public", "test", "f", [("id", 23, True), ("name", 25, False), ("active", 16, False), ("score", 701, False)])
@@ -112,43 +114,56 @@ def test_source_options():
     assert slot_names("test_slot", 1) == ["test_slot"] and slot_names("test_slot", 3)[2] == "test_slot_2"
 
 
-def test_stream_equals_batch_and_restart(spark, tmp_path):
+def test_stream_state_and_restart(spark, tmp_path):
+    """Batches cut transactions, also streamed and interleaved ones; a restart goes on where the query stood; rejected rows come once."""
     payloads = [USERS]
-    for x in range(1, 30):
-        payloads += [w.begin(x), w.insert(16384, [str(x), "n", "t", "1"]), w.commit(len(payloads), 1)]
-    payloads += [w.begin(99), w.insert(16384, ["99", "open", "t", "1"])]
+    for x in range(1, 12):
+        payloads += [w.begin(x), w.insert(16384, [str(x), "n", "t", "1"]), w.insert(16384, [str(x), "m", "t", "1"]), w.commit(len(payloads), 1)]
+        if x == 3:
+            payloads += [w.stream_start(500), w.insert(16384, ["500", "a", "t", "1"]), w.stream_stop()]
+        if x == 5:
+            payloads += [w.relation(16384, "public", "renamed", "f", [("id", 23, True), ("name", 25, False)]), w.stream_start(501), w.insert(16384, ["501", "a"]), w.stream_stop()]
+        if x == 9:
+            payloads += [w.stream_start(500, False), w.insert(16384, ["500", "b", "t", "1"]), w.stream_stop(), w.stream_commit(500, len(payloads), 1), w.stream_abort(501, 501), w.insert(16384, ["0", "orphan"])]
+    payloads += [b"X", w.begin(99), w.insert(16384, ["99", "open"])]
     df = frames(spark, payloads).coalesce(1)
     df.where("seq < 40").write.parquet(str(tmp_path / "frames"))
     spark.dataSource.register(WalSource)
 
     def run():
-        stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=10).load()
-        start_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-        return sorted(tuple(r) for r in sinks.read_changes(spark, str(tmp_path / "out")).drop("ts").collect())
+        stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=21, checkpoint=str(tmp_path / "check")).load()
+        return drain(start_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "dead")))
 
-    first = run()
+    read = lambda: sorted(tuple(r) for r in sinks.read_changes(spark, str(tmp_path / "out")).drop("ts").collect())
+    assert len(run()) == 2
+    before = read()
     df.where("seq >= 40").write.mode("append").parquet(str(tmp_path / "frames"))
-    second = run()
-    whole = sorted(tuple(r) for r in sinks.to_sink_rows(replay(df).events).drop("ts").collect())
-    assert len(first) == 13 and second == whole and len(whole) == 29
-
-
-def test_stream_in_limited_batches(spark, tmp_path):
-    payloads = [USERS]
-    for x in range(1, 30):
-        payloads += [w.begin(x), w.insert(16384, [str(x), "n", "t", "1"]), w.commit(len(payloads), 1)]
-    df = frames(spark, payloads).coalesce(1)
-    df.where("seq < 4").write.parquet(str(tmp_path / "frames"))
-    spark.dataSource.register(WalSource)
-    stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=30).load()
-    query = start_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), trigger={"processingTime": "0 seconds"})
-    try:
-        query.processAllAvailable()
-        df.where("seq >= 4").write.mode("append").parquet(str(tmp_path / "frames"))
-        query.processAllAvailable()
-        sizes = [p.numInputRows for p in query.recentProgress if p.numInputRows]
-    finally:
-        query.stop()
-    got = sorted(tuple(r) for r in sinks.read_changes(spark, str(tmp_path / "out")).drop("ts").collect())
-    assert got == sorted(tuple(r) for r in sinks.to_sink_rows(replay(df).events).drop("ts").collect()) and len(got) == 29
-    assert len(sizes) >= 4
+    assert len(run()) == -(-(len(payloads) - 40) // 21) >= 2
+    done = replay(df)
+    whole = sorted(tuple(r) for r in sinks.to_sink_rows(done.events).drop("ts").collect())
+    assert 0 < len(before) < len(whole) == 24 and read() == whole
+    dead = lambda x: sorted((r.seq, r.reason) for r in x.select("seq", "reason").collect())
+    assert dead(spark.read.parquet(str(tmp_path / "dead"))) == dead(done.rejected) and len(dead(done.rejected)) == 3
+    written = positions.slot_checkpoints(spark.read.parquet(str(tmp_path / "out_positions"))).first()
+    assert written.confirmed_lsn == done.events.agg(F.max("commit_lsn")).first()[0]
+
+
+@pytest.mark.parametrize("rows", [1, 50])
+def test_ranges_do_not_show(spark, rows):
+    random.seed(rows)
+    logs = [("s", -1, 0, 0, 0, USERS)]
+    for i in range(200):
+        kind = random.choice("bbicscIIII")
+        x = random.randint(1, 6)
+        logs.append(("s", i * 3, i, i, 0, {"b": w.begin(x), "c": w.commit(i, i), "s": w.stream_start(x, random.random() < 0.5), "i": w.insert(16384, ["1"]), "I": w.insert(16384, [str(i)])}[kind]))
+    df = spark.createDataFrame(logs, DDL)
+    parts = [assemble(df, rows=rows), assemble(df, rows=10**6)]
+    for one, other in ([x.events.select("seq", "xid", "commit_lsn", "txn_instance") for x in parts], [x.rejected.select("seq", "reason") for x in parts], [x.open.select("seq", "txn_xid") for x in parts]):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_state_machine_rows_with_fewer_or_repeated_columns(spark):
+    twice = w.relation(7, "public", "twice", "f", [("b", 23, True), ("a", 25, False), ("b", 25, False)])
+    done = replay(frames(spark, [twice, w.begin(1), w.insert(7, ["1", "x", "y"]), w.insert(7, ["1"]), w.insert(7, []), w.insert(7, ["1", "x", "y", "z"]), w.commit(1, 2)]))
+    got = [tuple(r) for r in done.events.orderBy("seq").select(to_json("data"), to_json("pk")).collect()]
+    assert got == [('{"a":"x","b":"y"}', "{}"), ('{"b":1}', '{"b":1}'), ("{}", "{}"), ('{"a":"x","b":"y"}', "{}")]

@@ -12,13 +12,18 @@ from walflow.errors import ConfigError
 @dataclass
 class Config:
     source_path: str = ""
+    source_url: str = ""
+    publication: str = "walflow"
+    tables: str = ""
     sink_path: str = ""
+    sink_url: str = ""
     checkpoint_path: str = ""
     dead_letter_path: str = ""
     slot: str = "walflow"
     slots: int = 1
     batch_size: int = 10_000
     batch_timeout_ms: int = 100
+    status_interval_ms: int = 10_000
     metrics_port: int = 9090
     log_level: str = "info"
 

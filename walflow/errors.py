@@ -20,6 +20,12 @@ class ConfigError(WalflowError): ...
 class SourceError(WalflowError): ...
 
 
+class ConnectionFailed(SourceError): ...
+
+
+class AuthError(SourceError): ...
+
+
 class SinkError(WalflowError): ...
 
 
@@ -28,5 +34,5 @@ class CheckpointError(WalflowError): ...
 
 REASONS = (
     "empty_message", "unknown_message_type", "buffer_underflow", "missing_null_terminator", "bad_tuple_marker", "bad_tuple_format",
-    "unknown_relation", "no_open_transaction", "aborted", "subxact_abort_unresolved", "replaced", "lsn_overflow",
+    "unknown_relation", "no_open_transaction", "aborted", "subxact_abort_unresolved", "replaced", "lsn_overflow", "bad_lsn",
 )

@@ -11,6 +11,27 @@ _INT = r"^[+-]?[0-9]+$"
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def is_null(cell: Column) -> Column:
+    return cell["fmt"] == "n"
+
+
+def is_unchanged(cell: Column) -> Column:
+    return cell["fmt"] == "u"
+
+
+def as_text(cell: Column) -> Column:
+    """The text of a text cell, null for any other."""
+    return F.when(cell["fmt"] == "t", cell["text"])
+
+
+def tuple_length(cells: Column) -> Column:
+    return F.size(cells)
+
+
+def is_empty(cells: Column) -> Column:
+    return F.size(cells) == 0
+
+
 def cell_value(oid: Column, cell: Column) -> Column:
     """VARIANT of a cell: SQL null for null and unchanged cells, `\\x` hex for binary ones, else by OID with text as the fallback."""
     text = cell["text"]
@@ -30,15 +51,32 @@ def cell_value(oid: Column, cell: Column) -> Column:
     )
 
 
-def row_map(columns: Column, cells: Column, keys_only: bool = False) -> Column:
-    """MAP<name, VARIANT> in name order; surplus cells are ignored, missing ones absent, of repeated names the last wins."""
+def row_plan(columns: Column) -> Column:
+    """What `row_map` does with a relation's columns, worked out once: names in order (of repeated ones the last), where and of what type their cells are, and the same for the key."""
+    n = F.size(columns)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    later = lambda i: F.exists(F.slice(columns, i + 2, n), lambda c: c["name"] == columns[i]["name"])
+    named = F.array_sort(F.transform(F.filter(places, lambda i: ~later(i)), lambda i: F.struct(columns[i]["name"].alias("name"), i.alias("i"), columns[i]["type_oid"].alias("oid"), columns[i]["flags"].alias("flags"))))
+    keys = F.filter(named, lambda x: x["flags"].bitwiseAND(1) == 1)
+    cut = lambda xs: F.transform(xs, lambda x: F.struct(x["i"].alias("i"), x["oid"].alias("oid")))
+    return F.struct(n.alias("n"), named["name"].alias("names"), cut(named).alias("at"), keys["name"].alias("key_names"), cut(keys).alias("key_at"))
+
+
+def row_map(columns: Column, cells: Column, keys_only: bool = False, plan: Column | None = None) -> Column:
+    """MAP<name, VARIANT> in name order; surplus cells are ignored, missing ones absent, of repeated names the last wins.
+
+    With the relation's `plan`, only rows with missing cells work the order out for themselves."""
     n = F.least(F.size(columns), F.size(cells))
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    later = lambda i: F.exists(F.slice(columns, i + 2, F.size(columns)), lambda c: c["name"] == columns[i]["name"])
+    later = lambda i: F.exists(F.slice(columns, i + 2, n - i - 1), lambda c: c["name"] == columns[i]["name"])
     wanted = lambda i: ~later(i) & ((columns[i]["flags"].bitwiseAND(1) == 1) if keys_only else F.lit(True))
     named = F.array_sort(F.transform(F.filter(places, wanted), lambda i: F.struct(columns[i]["name"].alias("name"), i.alias("i"))))
     entries = F.transform(named, lambda x: F.struct(x["name"].alias("key"), cell_value(columns[x["i"]]["type_oid"], cells[x["i"]]).alias("value")))
-    return F.when(cells.isNotNull(), F.map_from_entries(entries))
+    if plan is None:
+        return F.when(cells.isNotNull(), F.map_from_entries(entries))
+    names, at = (plan["key_names"], plan["key_at"]) if keys_only else (plan["names"], plan["at"])
+    planned = F.map_from_arrays(names, F.transform(at, lambda x: cell_value(x["oid"], cells[x["i"]])))
+    return F.when(F.size(cells) >= plan["n"], planned).when(cells.isNotNull(), F.map_from_entries(entries))
 
 
 def unchanged(columns: Column, cells: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from walflow.functions.wire import TAGS, decode
+from walflow.functions.columnar import decode_batch
+from walflow.functions.wire import TAGS
 
 _CELLS = "array<struct<fmt:string,text:string,bin:binary>>"
 FIELDS = (
@@ -18,6 +19,10 @@ FIELDS = (
     "relation_ids array<long>, transactional boolean, prefix string, message_lsn long, content binary, error string, error_text string"
 )
 
+#: What the assembly needs of control and of change messages.
+CONTROL_FIELDS = "msg_type string, xid long, subxid long, first_segment boolean, commit_lsn long, commit_time long, error string"
+CHANGE_FIELDS = f"msg_type string, relation_id long, key_only boolean, old_kind string, old_tuple {_CELLS}, new_tuple {_CELLS}, error string"
+
 
 def _u(name: str, start: int, n: int) -> str:
     return f"cast(conv(hex(substring({name},{start},{n})),16,10) as decimal(20,0))"
@@ -38,18 +43,18 @@ def parse_frames(frames: DataFrame, column: str = "frame") -> DataFrame:
     })
 
 
-def parse_messages(frames: DataFrame) -> DataFrame:
-    """Adds the decoded fields to frames that have a `payload`; one pass over Arrow batches, malformed ones get `error`."""
-    added = StructType.fromDDL(FIELDS)
+def parse_messages(frames: DataFrame, fields: str = FIELDS) -> DataFrame:
+    """Adds the decoded `fields` (all of them, if not said) to frames that have a `payload`; malformed ones get `error`.
+
+    One pass over Arrow batches, column-wise for control and change messages."""
+    added = StructType.fromDDL(fields)
     schema = StructType([*frames.schema.fields, *added.fields])
     arrow = to_arrow_schema(added)
     at = frames.columns.index("payload")
 
     def run(it):
         for batch in it:
-            rows = [decode(p) for p in batch.column(at).to_pylist()]
-            new = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *arrow.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *decode_batch(batch.column(at), arrow)], [*batch.schema.names, *arrow.names])
 
     return frames.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,13 +51,29 @@ def init_table(spark, name: str, path: str) -> None:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """The latest image of each key that is not deleted, with keys as canonical JSON."""
+    """The latest image of each key that is not deleted, with keys as canonical JSON; images are rendered for the winners alone."""
     keyed = events.withColumn("key", F.to_json("pk"))
-    image = F.struct("op", F.to_json("data").alias("data"), "lsn")
-    last = keyed.groupBy("slot", "table", "key").agg(F.max_by(image, F.struct("commit_lsn", "seq")).alias("last"))
-    return last.where("last.op <> 'DELETE'").select("slot", "table", "key", "last.data", "last.lsn")
+    last = keyed.groupBy("slot", "table", "key").agg(F.max_by(F.struct("op", "data", "lsn"), F.struct("commit_lsn", "seq")).alias("last"))
+    return last.where("last.op <> 'DELETE'").select("slot", "table", "key", F.to_json("last.data").alias("data"), "last.lsn")
+
+
+def batch_stats(events: DataFrame) -> DataFrame:
+    """What a batch of events amounts to: events, bytes of its output rows, and the greatest commit position, which may be confirmed once it is written."""
+    rows = events.select("commit_lsn", "table", F.to_json("data").alias("data"), F.to_json("before").alias("before"))
+    return event_size(rows).agg(F.count("*").alias("events"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("commit_lsn").alias("max_commit_lsn"))
+
+
+def batch_summary(events: DataFrame) -> DataFrame:
+    """Per slot and table of a batch: rows, transactions and the greatest commit position."""
+    return events.groupBy("slot", "table").agg(F.count("*").alias("rows"), F.count_distinct("txn_instance", "xid").alias("transactions"), F.max("commit_lsn").alias("commit_lsn"))
 
 
-def batch_stats(rows: DataFrame) -> DataFrame:
-    sized = event_size(rows)
-    return sized.agg(F.count("*").alias("events"), F.sum("size").alias("bytes"), F.max("lsn").alias("max_lsn"))
+def write_positions(spark, summary: list, path: str) -> None:
+    """slot_name, confirmed_lsn, flushed_rows and last_flush_time (microseconds) of a written batch: what may be confirmed to each slot (see `positions.slot_checkpoints`)."""
+    now = time.time_ns() // 1000
+    slots: dict[str, tuple[int, int]] = {}
+    for r in summary:
+        lsn, rows = slots.get(r.slot, (0, 0))
+        slots[r.slot] = (max(lsn, r.commit_lsn), rows + r.rows)
+    rows = [(slot, lsn, n, now) for slot, (lsn, n) in slots.items()]
+    spark.createDataFrame(rows, "slot_name string, confirmed_lsn long, flushed_rows long, last_flush_time long").coalesce(1).write.mode("overwrite").parquet(path)

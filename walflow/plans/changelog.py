@@ -145,19 +145,17 @@ def events_log(spark: SparkSession, sf_dir: str, slots: int = 1) -> DataFrame:
 
 
 def items_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts of lineitem, 100 rows a transaction, cut into segments at commit boundaries (column `segment`)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("r", F.monotonically_increasing_id()).withColumn("segment", F.shiftright("r", 33)).withColumn("place", F.col("r").bitwiseAND((1 << 33) - 1))
-    li = li.withColumn("d", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
-    names = [c if c != "l_shipdate" else "d" for c, _, _ in ITEM_COLUMNS]
-    lsn = F.col("r") * 4 + 1000
-    change = F.array(at(lsn + 1, insert(ITEMS_REL, cells(*[cell(F.col(c)) for c in names]))))
-    first, time = F.col("place") % 100 == 0, F.lit(PG_2024)
-    xid = F.floor(F.col("place") / 100) + F.col("segment") * 1_000_000
-    opened = at(lsn, F.when(first, begin(xid, lsn, time)))
-    end = F.lead("r").over(Window.partitionBy("segment").orderBy("place")).isNull()
-    closed = at(lsn + 2, F.when((F.col("place") % 100 == 99) | F.col("ends"), commit(lsn + 2, lsn + 3, time)))
-    rows = li.withColumn("ends", end)
-    out = rows.select(F.lit("slot_0").alias("slot"), "segment", F.explode(F.array_append(F.array_insert(change, 1, opened), closed)).alias("m")).where("m.payload is not null")
-    out = out.select("slot", "segment", F.col("m.start_lsn").alias("seq"), F.col("m.start_lsn").alias("start_lsn"), (F.col("m.start_lsn") + 1).alias("end_lsn"), F.lit(0).cast("long").alias("send_time"), F.col("m.payload").alias("payload"))
-    rel = relation_frames(spark, [("slot_0", 500, wire.relation(ITEMS_REL, "public", "lineitem", "f", ITEM_COLUMNS))]).withColumn("segment", F.lit(0).cast("long"))
-    return out.unionByName(rel)
+    """Inserts of lineitem, a transaction for each order; the same log however the table is read."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("d", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    names = [c if c != "l_shipdate" else "d" for c, _, _ in ITEM_COLUMNS[1:]]
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", *[c for c in names if c not in ("l_orderkey", "l_linenumber")]))).alias("lines"))
+    base, time = F.col("l_orderkey") * 1000 + 1000, F.lit(PG_2024)
+
+    def line(x, i):
+        r = F.col("l_orderkey") * 1000 + i
+        return at(base + i + 1, insert(ITEMS_REL, cells(cell(r), *[cell(F.col(c) if c == "l_orderkey" else x[c]) for c in names])))
+
+    end = base + F.size("lines") + 1
+    messages = F.concat(F.array(at(base, begin(F.col("l_orderkey"), end, time))), F.transform("lines", line), F.array(at(end, commit(end, end + 1, time))))
+    log = frames(lines, messages, F.lit("slot_0"))
+    return log.unionByName(relation_frames(spark, [("slot_0", 500, wire.relation(ITEMS_REL, "public", "lineitem", "f", ITEM_COLUMNS))]))

@@ -1,27 +1,29 @@
-"""The `walflow_wal` data source: recorded frames as a batch or a stream with LSN offsets.
-
-Option `path`: a folder of parquet files with slot, seq, start_lsn, end_lsn, send_time and
-payload that all executors can read; `slot`: a base slot name, `slots`: how many (each is a
-partition); `max_messages`: admission limit of a micro-batch (a single larger transaction
-still goes whole, and so does the backlog that a start finds, as a restarted reader cannot
-know what its predecessor delivered). A micro-batch always ends where no transaction is open, so batches hold
-whole transactions and their assembly needs no state; relation messages of earlier batches
-are repeated at their old places so that metadata is known.
+"""The `walflow_wal` data source: recorded frames as a batch or a stream.
+
+Option `path`: a folder of parquet files with slot, seq, start_lsn, end_lsn, send_time and payload that the
+driver and all executors can read, by a path or a URI that pyarrow knows; `slot`: a base slot name and
+`slots`: how many (default: all there are); `start_lsn`: frames before it are left out; `max_messages`:
+admission limit of a micro-batch, over all slots; `checkpoint`: the query's checkpoint folder, from which a
+restarted reader learns where it stood (the engine does not tell it).
+
+Offsets are {slot: last seq}. A micro-batch may end anywhere: transactions that stay open are state of the
+query (`walflow.streaming.stream`), not of the source. Plans come from the files' statistics, read once a
+file: neither a trigger nor a plan reads a payload, and the places looked up are those after the last offset.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-FRAME_SCHEMA = "slot string, seq long, start_lsn long, end_lsn long, send_time long, payload binary"
-_OPEN, _CLOSE = {b"B", b"S"}, {b"C", b"c", b"A"}
-
+from walflow.sources.client import error_message, password_digest, slot_names  # noqa: F401  (part of this module's interface)
 
-def slot_names(name: str, count: int) -> list[str]:
-    return [name] if count == 1 else [f"{name}_{i}" for i in range(count)]
+FRAME_SCHEMA = "slot string, seq long, start_lsn long, end_lsn long, send_time long, payload binary"
+_COLUMNS = ["slot", "seq", "start_lsn", "end_lsn", "send_time", "payload"]
+#: Rows of a partition, roughly: row groups are read whole.
+PART_ROWS = 200_000
 
 
 def connection(url: str) -> dict:
@@ -30,106 +32,189 @@ def connection(url: str) -> dict:
     return {"host": u.hostname or "localhost", "port": u.port or 5432, "user": unquote(u.username or "postgres"), "password": unquote(u.password or ""), "database": u.path.lstrip("/") or "postgres"}
 
 
-def password_digest(user: str, password: str, salt: bytes) -> str:
-    """The MD5 answer to an authentication request."""
-    import hashlib
-
-    inner = hashlib.md5((password + user).encode()).hexdigest()
-    return "md5" + hashlib.md5(inner.encode() + salt).hexdigest()
-
-
-def error_message(fields: bytes) -> str:
-    """Field M of an error response."""
-    m = re.search(rb"(?:^|\0)M([^\0]*)", fields)
-    return m.group(1).decode("utf-8", "replace") if m else "unknown error"
+def _store(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
-class Slot(InputPartition):
-    def __init__(self, slot: str | None, start: int, end: int):
-        self.slot, self.start, self.end = slot, start, end
 
+class Part(InputPartition):
+    """Row groups (file, number), of which the rows in the ranges {slot: (after, up to)} count."""
 
-def _rows(path: str, slot: str | None, columns=None):
-    import pyarrow.compute as pc
-    import pyarrow.dataset as ds
+    def __init__(self, groups: list[tuple[str, int]], ranges: dict[str, tuple[int, int]]):
+        self.groups, self.ranges = groups, ranges
 
-    keep = None if slot is None else pc.field("slot") == slot
-    table = ds.dataset(path).to_table(columns=columns, filter=keep)
-    return table.sort_by([("slot", "ascending"), ("seq", "ascending")])
 
+class Log:
+    """The recorded files' row groups with their least and greatest seq."""
 
-class _Read:
-    def read(self, part: Slot):
-        for row in _rows(self.path, part.slot).to_pylist():
-            known = row["start_lsn"] <= part.start and row["payload"][:1] == b"R"
-            if known or part.start < row["start_lsn"] <= part.end:
-                yield tuple(row[c] for c in ("slot", "seq", "start_lsn", "end_lsn", "send_time", "payload"))
-
-
-class _Batch(_Read, DataSourceReader):
     def __init__(self, options):
-        self.path, self.names = options["path"], _names(options)
+        self.path, self.start = options["path"], int(options.get("start_lsn", "0"))
+        self.names = slot_names(options["slot"], int(options.get("slots", "1"))) if options.get("slot") else None
+        self.known: dict[str, list[tuple[int, int, int, int]]] = {}
+
+    def groups(self) -> list[tuple[int, int, int, str, int]]:
+        """(least seq, greatest seq, rows, file, number) of all row groups there are now; files are looked into once."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+        out = []
+        for info in found:
+            name = info.base_name
+            if info.type != fs.FileType.File or not name.endswith(".parquet") or name[0] in "._":
+                continue
+            if info.path not in self.known:
+                with store.open_input_file(info.path) as f:
+                    meta = pq.ParquetFile(f).metadata
+                    place = meta.schema.names.index("seq")
+                    rows = []
+                    for g in range(meta.num_row_groups):
+                        column = meta.row_group(g).column(place)
+                        if meta.row_group(g).num_rows:
+                            rows.append((column.statistics.min, column.statistics.max, meta.row_group(g).num_rows, g))
+                    self.known[info.path] = rows
+            out += [(lo, hi, n, info.path, g) for lo, hi, n, g in self.known[info.path]]
+        return sorted(out)
+
+    def heads(self, groups, after: dict[str, int]):
+        """{slot: sorted seqs} of row groups, of the slots wanted and later than `after`."""
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        store, _ = _store(self.path)
+        found: dict[str, list] = {}
+        for _, _, _, name, g in groups:
+            with store.open_input_file(name) as f:
+                table = pq.ParquetFile(f).read_row_group(g, columns=["slot", "seq"])
+            slots, seqs = table.column("slot").combine_chunks().dictionary_encode(), table.column("seq").to_numpy()
+            codes = slots.indices.to_numpy(zero_copy_only=False)
+            for k, slot in enumerate(slots.dictionary.to_pylist()):
+                if self.names is None or slot in self.names:
+                    own = seqs[codes == k]
+                    found.setdefault(slot, []).append(own[own > after.get(slot, -1)])
+        return {slot: np.sort(np.concatenate(x)) for slot, x in found.items()}
+
+    def ahead(self, at: dict[str, int], most: int) -> dict[str, int]:
+        """The offset after up to `most` more frames, in order of seq across the slots."""
+        import numpy as np
+
+        least = min((at.get(s, -1) for s in self.names), default=-1) if self.names else -1
+        open_ = [g for g in self.groups() if g[1] > least]
+        k = total = 0
+        while k < len(open_) and total < most:
+            total += open_[k][2]
+            k += 1
+        while True:
+            heads = self.heads(open_[:k], at)
+            every = np.sort(np.concatenate([*heads.values(), np.zeros(0, np.int64)]))
+            border = every[min(most, len(every)) - 1] if len(every) else None
+            more = k
+            if len(every) < most:
+                more = min(len(open_), 2 * k + 1)
+            while more < len(open_) and len(every) >= most and open_[more][0] <= border:
+                more += 1
+            if more == k:
+                break
+            k = more
+        out = dict(at)
+        if border is not None:
+            for slot, seqs in heads.items():
+                upto = seqs[seqs <= border]
+                if len(upto):
+                    out[slot] = int(upto[-1])
+        return out
+
+    def parts(self, ranges: dict[str, tuple[int, int]]) -> list[Part]:
+        out, held, rows = [], [], 0
+        for lo, hi, n, name, g in self.groups():
+            if any(hi > a and lo <= b for a, b in ranges.values()):
+                held.append((name, g))
+                rows += n
+                if rows >= PART_ROWS:
+                    out.append(Part(held, ranges))
+                    held, rows = [], 0
+        return out + ([Part(held, ranges)] if held else [])
+
+    def rows(self, part: Part):
+        """Record batches of a partition."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        store, _ = _store(self.path)
+        schema = pa.schema([("slot", pa.string()), *[(c, pa.int64()) for c in _COLUMNS[1:5]], ("payload", pa.binary())])
+        for name, g in part.groups:
+            with store.open_input_file(name) as f:
+                table = pq.ParquetFile(f).read_row_group(g, columns=_COLUMNS)
+            keep = pc.greater_equal(table["start_lsn"], self.start)
+            if part.ranges:
+                inside = None
+                for slot, (a, b) in part.ranges.items():
+                    one = pc.and_(pc.equal(table["slot"], slot), pc.and_(pc.greater(table["seq"], a), pc.less_equal(table["seq"], b)))
+                    inside = one if inside is None else pc.or_(inside, one)
+                keep = pc.and_(keep, inside)
+            elif self.names is not None:
+                keep = pc.and_(keep, pc.is_in(table["slot"], pa.array(self.names)))
+            yield from table.filter(keep).select(_COLUMNS).cast(schema).to_batches(max_chunksize=10_000)
+
+
+class _Batch(DataSourceReader):
+    def __init__(self, options):
+        self.log = Log(options)
 
     def partitions(self):
-        return [Slot(s, -1, 1 << 62) for s in self.names]
+        out, held, rows = [], [], 0
+        for _, _, n, name, g in self.log.groups():
+            held.append((name, g))
+            rows += n
+            if rows >= PART_ROWS:
+                out.append(Part(held, {}))
+                held, rows = [], 0
+        return out + ([Part(held, {})] if held else [])
+
+    def read(self, part: Part):
+        return self.log.rows(part)
 
 
-class _Stream(_Read, DataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
     def __init__(self, options):
-        self.path, self.names, self.most = options["path"], _names(options), int(options.get("max_messages", "100000"))
-        self.at: int | None = None  # unknown until the first call: the engine does not tell a restarted reader
+        self.log, self.most = Log(options), int(options.get("max_messages", "100000"))
+        self.at: dict[str, int] = last_offset(options["checkpoint"]) if options.get("checkpoint") else {}
+        self.acknowledged: dict[str, int] = {}
 
     def initialOffset(self):
-        return {"lsn": -1}
+        return {}
 
     def latestOffset(self):
-        """The end of the last complete transaction within the admission limit; of all there is on the first call."""
-        limit = self.most if self.at is not None else 1 << 62
-        at = best = self.at if self.at is not None else -1
-        seen = 0
-        open_: set[tuple] = set()
-        rows = sorted(_heads(self.path, self.names), key=lambda r: r[1])
-        for slot, lsn, tag, xid in rows:
-            if tag in _OPEN:
-                open_.add((slot, xid))
-            elif tag == b"C":
-                open_ -= {x for x in open_ if x[0] == slot and x[1] is None} | {(slot, xid)}
-            elif tag in _CLOSE:
-                open_.discard((slot, xid))
-            if lsn > at:
-                seen += 1
-                if not open_:
-                    if seen > limit and best > at:
-                        break
-                    best = lsn
-        self.at = best
-        return {"lsn": self.at}
+        self.at = self.log.ahead(self.at, self.most)
+        return self.at
 
     def partitions(self, start, end):
-        return [Slot(s, start["lsn"], end["lsn"]) for s in self.names]
+        ranges = {slot: (start.get(slot, -1), upto) for slot, upto in end.items() if upto > start.get(slot, -1)}
+        return self.log.parts(ranges) if ranges else []
+
+    def read(self, part: Part):
+        return self.log.rows(part)
 
     def commit(self, end):
-        self.acknowledged = end["lsn"]  # a live source would report this as flushed
-
-
-def _heads(path, names):
-    """(slot, lsn, tag, xid) of all messages; a commit has the xid of the last begin of its slot."""
-    for name in names:
-        current = None
-        for row in _rows(path, name, ["slot", "seq", "start_lsn", "payload"]).to_pylist():
-            tag, p = row["payload"][:1], row["payload"]
-            xid = current
-            if tag == b"B":
-                xid = current = int.from_bytes(p[17:21], "big")
-            elif tag in (b"S", b"c", b"A"):
-                xid = int.from_bytes(p[1:5], "big")
-                current = xid if tag == b"S" else current
-            yield row["slot"], row["start_lsn"], tag, xid
-
-
-def _names(options):
-    name = options.get("slot")
-    return slot_names(name, int(options.get("slots", "1"))) if name else [None]
+        """Called once a batch has been written; a recorded log has nobody to tell."""
+        self.acknowledged = end
+
+
+def last_offset(checkpoint: str) -> dict[str, int]:
+    """The offset of the last micro-batch that a query with this checkpoint folder planned; empty if none."""
+    from pyarrow import fs
+
+    store, root = _store(checkpoint)
+    names = [i.path for i in store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/offsets", allow_not_found=True)) if i.base_name.isdigit()]
+    if not names:
+        return {}
+    with store.open_input_stream(max(names, key=lambda n: int(n.rsplit("/", 1)[-1]))) as f:
+        last = f.read().decode().strip().splitlines()[-1]
+    return json.loads(last) if last.startswith("{") else {}
 
 
 class WalSource(DataSource):
