@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from walflow.storage import remove, shared_dir
+
 #: Stands for a null doc_id inside the operators; it sorts after every other id.
 NULL_ID = (1 << 63) - 1
 
@@ -22,21 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.gettempdir() + "/walflow_shared"
-    return where.rstrip("/")
-
-
 def save(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back."""
+    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back; `forget` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a saved DataFrame that nothing reads any more; others are left alone."""
+    if path := getattr(df, "saved_at", None):
+        remove(df.sparkSession, path)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -60,6 +59,19 @@ def parallel(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores before it as it takes to clash with none of `columns` in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = "_" + name
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

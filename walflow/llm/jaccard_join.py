@@ -7,37 +7,39 @@ band and in the next one's. For an instance, similarity bounds the number k of
 elements in which two sets differ. The hash domain is cut into first-level groups of
 second-level partitions; as k differences cannot reach every group more than
 ``k2`` times, two similar sets agree on some subset of a group's partitions that
-leaves out k2 of them. The hash of each such subset is a signature: sets with k
-over ``ENUMERATE`` use plain groups (k2 = 0) if these hold ``SELECTIVE`` elements on
-average, all others groups of three partitions of which any two (k2 = 1) or, where
-these would hold fewer than ``WIDER`` elements, five of which any three (k2 = 2).
-Signatures of nothing are left out wherever the others
-still guarantee a meeting, so sparse sets do not meet over empty partitions.
-
-Signatures travel in binary rows. Sets with a common signature are candidates of
-each other, and candidate components are found by label propagation. A component of
-more than ``SMALL`` classes is split first by parity sketches: a set's sketch tells for
-each cell of its hash domain whether it holds an odd number of elements, and where two
-sketches differ, so do the sets; sets whose sketches differ in more cells than
-similarity allows cannot be similar, and the others are tied. The bound holds for
-every pair, so no link is lost. What is left is mostly real groups; within each,
-every pair is verified exactly: intersections are counted from an inverted
-list of the elements in up to ``RARE`` sets and, for commoner elements, come from
-products of the component's incidence matrix. A component of more than ``BLOCK``
-classes is verified by pairs of salted blocks in separate tasks, so no task holds
-more than two blocks; sketches are compared by pairs of salted blocks of like size
-bands likewise. Tasks report a spanning forest and link counts, never pairs.
-A last label propagation over the verified links gives the components.
+leaves out k2 of them. The hash of each such subset is a signature (``shape``: up to
+``FEW`` differences the fewest signatures that hold ``COVER`` elements on average, or as
+many elements as signatures not more than elements can; beyond, plain groups or groups
+of three or five partitions, and a few groups more than needed). A subset without
+elements is no signature. That loses nothing for a set with as many groups without such
+subsets as similar sets need; other sets also take part in a further enumeration with
+other hashes (two sets that agree on nothing but an empty subset both do), and in the
+last of ``TURNS`` empty subsets count.
+
+Signatures travel in binary rows, a few bytes each, and meet in buckets. A signature
+that up to ``HOT`` sets share makes each two of them a candidate pair, one that more
+share ties them into a hot unit; a pair within one unit is left to the unit. So a set
+makes at most (HOT - 1) / 2 pairs for each of its signatures, whatever the input.
+
+Pairs are filtered without loss by parity sketches (a set's sketch tells for each
+cell of its hash domain whether it holds an odd number of elements: where two sketches
+differ, so do the sets), and those left are verified on the sets themselves. Units are
+verified by pairs of salted blocks of ``BLOCK`` sets in separate tasks, each pair once:
+intersections are counted from an inverted list of the elements in up to ``RARE`` sets
+and, for commoner elements, come from products of the incidence matrix. These tasks
+report a spanning forest and link counts, never pairs. Label propagation over the
+verified links gives the components.
 
 Defined cases: null or word-less texts have an empty set (n_shingles 0), no link
 and their own component; texts with fewer words are one shingle; equal sets are
 linked; a component's id is its smallest doc_id (null only if all its ids are);
 rows with one doc_id are separate members; very long texts are taken whole; extra
-columns are ignored.
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -45,20 +47,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import NULL_ID, batches, encoded, read, save, text_bytes, small_batches, trim
+from walflow.llm.common import batches, encoded, forget, fresh, read, save, text_bytes, small_batches, trim
 from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slices, words
 
 SHINGLE, PERCENT = 4, 85
-ENUMERATE, SELECTIVE, WIDER, RARE, BLOCK = 16, 5.5, 8, 32, 1000
-#: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange (by text and rate), classes per verifying task.
-CHUNK, BUCKET_BYTES, TASK_CLASSES, COLUMNS = 1_000_000, 10_000_000, 400, 2048
+COVER, SELECTIVE, FEW, TURNS, HOT, RARE, BLOCK = 8, 5.5, 8, 4, 16, 32, 1000
+#: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange and least number of buckets, classes per verifying task.
+CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS = 1_000_000, 8_000_000, 16, 400, 2048
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
-SENT = 6
-#: Candidate components of more classes are split by sketches, in blocks of so many sketch bytes; edges a task gathers before it reduces them.
-SMALL, SKETCH_BYTES, GATHER = 64, 4_000_000, 2_000_000
+SENT = 4
 
 
 class Bands:
@@ -102,42 +102,66 @@ def class_key(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def shape(top: int, k: int) -> tuple[int, int]:
-    """(k2, n2): partitions left out and partitions of a group, for sets of up to `top` elements with k differences."""
-    if k > ENUMERATE and top >= SELECTIVE * k:
-        return 0, 1
-    return (1, 3) if 2 * top / 3 >= WIDER * k / 2 else (2, 5)
-
-
-#: Column by column, the partitions that a subset keeps.
-SUBSETS = {(k2, n2): np.array([[i in c for c in itertools.combinations(range(n2), n2 - k2)] for i in range(n2)], dtype=np.int64) for k2, n2 in ((0, 1), (1, 3), (2, 5))}
-
-
-def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a set of hashes."""
-    out = []
-    band = bands.of(len(members))
-    value = mix(members)
-    for instance in (band, band + 1):
-        k = bands.differ(instance)
-        if not k:
-            continue  # only equal sets, which are one class
-        k2, n2 = shape(int(bands.tops[instance]), k)
+@functools.lru_cache(maxsize=None)
+def shape(top: int, k: int) -> tuple[int, int, int, int]:
+    """(need, n1, n2, k2) for sets of up to `top` elements with k differences: the groups of which similar sets agree, but for k2 partitions, on one; groups, partitions of a group, and partitions left out."""
+    if k > FEW:
+        k2, n2 = (0, 1) if top >= SELECTIVE * k else (1, 3) if 2 * top / 3 >= COVER * k / 2 else (2, 5)
         need = k // (k2 + 1) + 1
-        n1 = need + max(1, need // 20)
-        cell = ((members >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        at = np.flatnonzero(np.diff(cell[order], prepend=-1))
-        sums, counts = np.zeros(n1 * n2, np.uint64), np.zeros(n1 * n2, np.int64)
-        sums[cell[order][at]] = np.add.reduceat(value[order], at)
-        counts[cell[order][at]] = np.diff(np.append(at, len(order)))
-        kept = SUBSETS[k2, n2]
-        sums, counts = sums.reshape(n1, n2) @ kept.astype(np.uint64), counts.reshape(n1, n2) @ kept
-        name = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + (np.uint64(instance) << np.uint64(44))
-        found = mix(mix(sums) ^ mix(name))
-        whole = (counts > 0).all(axis=1).sum() >= need
-        out.append(found[counts > 0] if whole else found.ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return need, need + max(1, need // 20), n2, k2
+    best = None
+    for k2 in range(k + 1):
+        n1 = k // (k2 + 1) + 1
+        for n2 in range(k2 + 1, k2 + 13 if k2 else 2):
+            count, cover = n1 * math.comb(n2, k2), top * (n2 - k2) / (n1 * n2)
+            if count <= max(top, k + 1):
+                rank = (cover >= COVER, -count if cover >= COVER else cover)
+                best = max(best or (rank, n1, n2, k2), (rank, n1, n2, k2))
+    return best[1], *best[1:]
+
+
+@functools.lru_cache(maxsize=None)
+def subsets(n2: int, k2: int) -> np.ndarray:
+    """Column by column, the partitions that a subset keeps."""
+    return np.array([[i not in c for c in itertools.combinations(range(n2), k2)] for i in range(n2)], dtype=np.int64)
+
+
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, signature) of sets of hashes."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    band = np.searchsorted(bands.tops, sizes)
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for instance in np.unique(np.concatenate([band, band + 1])):
+        k = bands.differ(instance)
+        who = np.flatnonzero(((band == instance) | (band == instance - 1)) & (sizes > 0))
+        if not k or not len(who):
+            continue  # without differences only equal sets, which are one class
+        need, n1, n2, k2 = shape(int(bands.tops[instance]), k)
+        kept = subsets(n2, k2)
+        for turn in range(TURNS):
+            flat = np.concatenate([sets[i] for i in who])
+            at = mix(flat ^ np.uint64(turn * 0x9E3779B1)) if turn else flat
+            cell = np.repeat(np.arange(len(who)) * (n1 * n2), sizes[who]) + ((at >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            sums, counts = np.zeros(len(who) * n1 * n2, np.uint64), np.zeros(len(who) * n1 * n2, np.int64)
+            sums[cell[first]] = np.add.reduceat(mix(flat)[order], first)
+            counts[cell[first]] = np.diff(np.append(first, len(cell)))
+            sums, counts = sums.reshape(-1, n2) @ kept.astype(np.uint64), counts.reshape(-1, n2) @ kept
+            name = np.arange(n1 * kept.shape[1], dtype=np.uint64) + (np.uint64(instance) << np.uint64(44)) + (np.uint64(turn) << np.uint64(40))
+            value = mix(mix(sums.reshape(len(who), -1)) ^ mix(name))
+            full = counts.reshape(len(who), -1) > 0
+            whole = (counts > 0).all(axis=1).reshape(len(who), n1).sum(axis=1) >= need
+            if turn == TURNS - 1:
+                full[~whole] = True
+            row, column = np.nonzero(full)
+            owners.append(who[row])
+            found.append(value[row, column])
+            who = who[~whole]
+            if not len(who):
+                break
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -155,67 +179,23 @@ def folded(rows: np.ndarray, width: int) -> np.ndarray:
     return rows
 
 
-def near_sketches(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray, percent: int, same: bool):
-    """(i, places in `right`) of the sketches close enough for similar sets; `right` is in order of size; `same`: each pair once."""
-    right = np.ascontiguousarray(right.T)
-    half = max(1, len(right) // 2)
-    low = np.searchsorted(right_sizes, -(-percent * left_sizes // 100))
-    high = np.searchsorted(right_sizes, left_sizes * 100 // percent, side="right")
-    for i, row in enumerate(left[:, :, None]):
-        a, b = (max(int(low[i]), i + 1) if same else int(low[i])), int(high[i])
-        if a >= b:
-            continue
-        limit = (100 - percent) * (left_sizes[i] + right_sizes[a:b]) // (100 + percent)
-        differ = np.bitwise_count(right[:half, a:b] ^ row[:half]).sum(axis=0, dtype=np.uint32)
-        hits = np.flatnonzero(differ <= limit)
-        if len(hits) and half < len(right):
-            differ = differ[hits] + np.bitwise_count(right[half:, a + hits] ^ row[half:]).sum(axis=0, dtype=np.uint32)
-            hits = hits[differ <= limit[hits]]
-        if len(hits):
-            yield i, a + hits
-
-
-def tied_sketches(sizes: np.ndarray, sketches: list[bytes], side: np.ndarray | None, percent: int) -> np.ndarray:
-    """The least place that each set is tied to by near sketches; with `side`, only pairs of different sides are looked at."""
-    label = np.arange(len(sizes))
-    gathered, held = [], 0
-    width = np.array([len(x) // 8 for x in sketches])
-    order = np.argsort(sizes, kind="stable")
-
-    def reduce():
-        nonlocal label, gathered, held
-        a, b = (np.concatenate(x) for x in zip(*gathered))
-        label = local_components(np.concatenate([a, np.arange(len(label))]), np.concatenate([b, label]), len(label))
-        gathered, held = [], 0
-
-    def rows(at: np.ndarray) -> np.ndarray:
-        return np.frombuffer(b"".join([sketches[k] for k in at]), "<u8").reshape(len(at), -1)
-
-    groups = [(w, s, order[(width[order] == w) & (side[order] == s if side is not None else True)]) for w in np.unique(width) for s in ((0, 1) if side is not None else (0,))]
-    for x, (w, s, left) in enumerate(groups):
-        if not len(left):
-            continue
-        short = rows(left)
-        for v, r, right in groups[x:]:
-            same = v == w and r == s
-            if not len(right) or (side is not None and r == s) or 100 * sizes[left[-1]] < percent * sizes[right[0]]:
-                continue
-            for i, hits in near_sketches(short, sizes[left], folded(rows(right), w), sizes[right], percent, same):
-                gathered.append((np.full(len(hits), left[i]), right[hits]))
-                held += len(hits)
-                if held > GATHER:
-                    reduce()
-    if gathered:
-        reduce()
-    return label
+def sketch_gaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many cells the sketches of each pair differ, at the smaller one's number of cells."""
+    out = np.zeros(len(left), dtype=np.int64)
+    x, y = np.array([len(b) // 8 for b in left]), np.array([len(b) // 8 for b in right])
+    for w, v in {*zip(x.tolist(), y.tolist())}:
+        at = np.flatnonzero((x == w) & (y == v))
+        for part in np.array_split(at, 1 + len(at) * max(w, v) // 1_000_000):
+            a, b = (np.frombuffer(b"".join([side[i] for i in part]), "<u8").reshape(len(part), -1) for side in (left, right))
+            out[part] = np.bitwise_count(folded(a, min(w, v)) ^ folded(b, min(w, v))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def rate(bands: Bands) -> float:
     """Signature bytes per byte of text, roughly: those of a set of 300, at six bytes a shingle."""
     band = bands.of(300)
-    k = bands.differ(band)
-    k2, n2 = shape(int(bands.tops[band]), k)
-    return 2 * SUBSETS[k2, n2].shape[1] * (k // (k2 + 1) + 1) * SENT / (6 * 300)
+    _, n1, n2, k2 = shape(int(bands.tops[band]), bands.differ(band))
+    return 2 * n1 * math.comb(n2, k2) * (SENT + 1) / (6 * 300)
 
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -239,14 +219,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = save(edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b").distinct(), "join-edges")
     labels = save(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "join-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        labels_next = save(step.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "join-labels")
-        moved = labels_next.where("label <> old").limit(1).count()
-        labels = labels_next.select("v", "label")
+        now = labels.select("v", "label")
+        near = both.join(now.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        step = now.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        jump = now.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        following = save(step.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "join-labels")
+        moved = following.where("label <> old").limit(1).count()
+        forget(labels)
+        labels = following
         if not moved:
-            return labels
+            forget(both)
+            return labels.select("v", "label")
 
 
 def scan_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -267,103 +250,144 @@ def scan_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(batches(run), "doc_id long, key binary, cls long, n_shingles long, band long, sketch binary")
 
 
-def candidate_edges(docs: DataFrame, bands: Bands, width: int, buckets: int) -> DataFrame:
-    """(a, b): classes that share a signature, as stars within a bucket of signatures."""
+def pack_signatures(keys: np.ndarray, owner: np.ndarray, sigs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob) of the signatures of a chunk of classes; only buckets with any."""
+    bucket = ((sigs >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((owner, bucket))
+    bucket = bucket[order]
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    low = np.ascontiguousarray(sigs.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :SENT]
+    blobs = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        used, counts = np.unique(owner[order[a:b]], return_counts=True)
+        blobs.append(len(used).to_bytes(8, "little") + keys[used].astype("<i8").tobytes() + counts.astype("<i4").tobytes() + low[order[a:b]].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a < b) of one bucket, and (class, least class of its hot unit here)."""
+    keys, sigs = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        keys.append(np.repeat(np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i4", n, 8 + 8 * n)))
+        wide = np.zeros((len(keys[-1]), 8), dtype=np.uint8)
+        wide[:, :SENT] = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, SENT)
+        sigs.append(wide.view("<u8").ravel())
+    keys, sigs = np.concatenate(keys), np.concatenate(sigs)
+    order = np.argsort(sigs)
+    sigs = sigs[order]
+    twin = np.zeros(len(sigs) + 1, dtype=bool)
+    twin[1:-1] = sigs[1:] == sigs[:-1]
+    shared = twin[1:] | twin[:-1]  # what nothing else shares goes at once
+    sigs, names = sigs[shared], keys[order[shared]]
+    names, who = np.unique(names, return_inverse=True)
+    total = max(1, len(names))
+    once = np.lexsort((who, sigs))  # several chunks may send one class
+    sigs, who = sigs[once], who[once]
+    new = np.ones(len(sigs), dtype=bool)
+    new[1:] = (sigs[1:] != sigs[:-1]) | (who[1:] != who[:-1])
+    sigs, who = sigs[new], who[new]
+    first = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
+    size = np.diff(np.append(first, len(sigs)))
+    pairs = [np.zeros(0, np.int64)]
+    held = 0
+    for g in range(2, hot + 1):
+        at = first[size == g]
+        for i, j in itertools.combinations(range(g), 2) if len(at) else ():
+            pairs.append(who[at + i] * total + who[at + j])
+            held += len(at)
+            if held > 4_000_000:
+                pairs = [np.unique(np.concatenate(pairs))]
+                held = 0
+    pairs = np.unique(np.concatenate(pairs))
+    large = np.repeat(size > hot, size)
+    root = np.repeat(who[first] if len(first) else who, size)
+    label = local_components(who[large], root[large], total) if large.any() else np.arange(total)
+    members = np.unique(who[large])
+    in_unit = np.zeros(total, dtype=bool)
+    in_unit[members] = True
+    a, b = pairs // total, pairs % total
+    apart = ~(in_unit[a] & in_unit[b] & (label[a] == label[b]))  # a pair within a unit is the unit's
+    return names[a[apart]], names[b[apart]], names[members], names[label[members]]
+
+
+def candidates(docs: DataFrame, bands: Bands, width: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """(a, b, hot): candidate pairs of classes and, where `hot`, (class, root) of the hot units, one or more a class."""
 
     def deal(it):
-        found: dict[int, np.ndarray] = {}
+        seen: set[int] = set()
+        keys: list[int] = []
+        owners, sigs = [], []
         held = 0
 
         def out():
-            keys = np.array(list(found), dtype=np.int64)
-            sizes = np.array([len(s) for s in found.values()])
-            sigs = np.concatenate([*found.values(), np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(keys)), sizes)
-            bucket = ((sigs >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((owner, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blobs = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                used, counts = np.unique(owner[order[a:b]], return_counts=True)
-                blobs.append(len(used).to_bytes(8, "little") + keys[used].tobytes() + counts.astype("<i4").tobytes() + sigs[order[a:b]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return pack_signatures(np.array(keys, dtype=np.int64), np.concatenate(owners), np.concatenate(sigs), buckets)
 
         for batch in it:
             texts = encoded(batch.column(0))
             for a, b in slices([len(t) for t in texts]):
-                for s in shingles(texts[a:b], width):
-                    if len(s) and (k := class_key(s)) not in found:
-                        found[k] = signatures(s, bands)
-                        held += len(found[k])
-                        if held > CHUNK:
-                            yield out()
-                            found, held = {}, 0
-        if found:
+                new = []
+                for s in shingles(list(dict.fromkeys(texts[a:b])), width):
+                    if len(s) and (k := class_key(s)) not in seen:
+                        seen.add(k)
+                        keys.append(k)
+                        new.append(s)
+                if new:
+                    owner, found = signatures(new, bands)
+                    owners.append(owner + (len(keys) - len(new)))
+                    sigs.append(found)
+                    held += len(found)
+                if held > CHUNK:
+                    yield out()
+                    seen, keys, owners, sigs, held = set(), [], [], [], 0
+        if held:
             yield out()
+        trim()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, sigs = [], []
-        for blob in table.column("blob").to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            keys.append(np.repeat(np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i4", n, 8 + 8 * n)))
-            wide = np.zeros((len(keys[-1]), 8), dtype=np.uint8)
-            wide[:, :SENT] = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, SENT)
-            sigs.append(wide.view("<u8").ravel())
-        keys, sigs = np.concatenate(keys), np.concatenate(sigs)
-        order = np.argsort(sigs)
-        sigs, keys = sigs[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))[: len(sigs)]
-        low = np.minimum.reduceat(keys, first) if len(keys) else keys
-        rep = np.repeat(low, np.diff(np.append(first, len(sigs))))
-        linked = rep != keys
-        names, place = np.unique(np.concatenate([keys[linked], rep[linked]]), return_inverse=True)
-        half = len(place) // 2
-        label = local_components(place[:half], place[half:], len(names))
-        tied = label != np.arange(len(names))
-        return pa.table({"a": pa.array(names[tied], pa.int64()), "b": pa.array(names[label[tied]], pa.int64())})
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
-    stars = save(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").select("a", "b").distinct(), "join-stars")
-    # A class has a root in each bucket: tie the roots to the least of them instead of the class to all.
-    rooted = stars.withColumn("root", F.min("b").over(Window.partitionBy("a")))
-    return rooted.select("a", F.col("root").alias("b")).unionByName(rooted.where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))).distinct()
-
-
-def split(near: DataFrame, classes: DataFrame, percent: int, small: int = SMALL, block: int = SKETCH_BYTES) -> DataFrame:
-    """(v, label) of candidate components, those of more than `small` classes split where sketches rule out every link."""
-    counts = near.groupBy("label").agg(F.count("*").alias("n"))
-    large = near.join(counts.where(F.col("n") > small).select("label"), "label")
-    rows = save(large.join(classes.select(F.col("cls").alias("v"), "size", "band", "sketch"), "v"), "join-sketches")
-    weights = rows.groupBy("label", "band").agg(F.sum(F.length("sketch")).alias("weight"))
-    weights = weights.withColumn("whole", F.sum("weight").over(Window.partitionBy("label")) <= block)
-    # A component that fits a block is one task; another is cut by size band, and a band into salted blocks.
-    cells = save(weights.select("label", "band", "whole", F.ceil(F.col("weight") / block).cast("long").alias("blocks")), "join-cells")
-    above = cells.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = cells.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    cells = cells.join(above, ["label", "band"], "left").join(below, ["label", "band"], "left")
-    rows = rows.join(cells, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-
-    def meetings(others: str, at: str) -> str:
-        return f"transform(if({others} is null, cast(array() as array<bigint>), sequence(0L, {others} - 1)), o -> {at})"
-
-    shape_of = "named_struct('low', {0}, 'high', {1}, 'i', {2}, 'j', {3}, 'side', {4})"
-    whole = "array(" + shape_of.format("-1L", "-1L", "0L", "0L", "0") + ")"
-    own = meetings("blocks", shape_of.format("band", "band", "least(block, o)", "greatest(block, o)", "if(block <= o, 0, 1)"))
-    up = meetings("above", shape_of.format("band", "band + 1", "block", "o", "0"))
-    down = meetings("below", shape_of.format("band - 1", "band", "o", "block", "1"))
-    sent = rows.withColumn("m", F.expr(f"explode(if(whole, {whole}, concat({own}, {up}, {down})))")).select("label", "m.*", "v", "size", "sketch")
-
-    def run(table: pa.Table) -> pa.Table:
-        low, high, i, j = (table.column(c)[0].as_py() for c in ("low", "high", "i", "j"))
-        v, sizes, side = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("v", "size", "side"))
-        label = tied_sketches(sizes, table.column("sketch").to_pylist(), None if (low, i) == (high, j) else side, percent)
+        a, b, member, root = meetings(table.column("blob").to_pylist(), hot)
         trim()
-        tied = label != np.arange(len(label))
-        return pa.table({"a": v[tied], "b": v[label[tied]]})
+        return pa.table({"a": np.concatenate([a, member]), "b": np.concatenate([b, root]), "hot": np.arange(len(a) + len(member)) >= len(a)})
 
-    ties = sent.groupBy("label", "low", "high", "i", "j").applyInArrow(run, "a long, b long")
-    others = near.join(counts.where(F.col("n") <= small).select("label"), "label").select("v", "label")
-    return save(components(ties).unionByName(others), "join-split")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, blob binary")
+    return save(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, hot boolean").distinct(), "join-met")
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow similarity."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 4))
+        near = sketch_gaps(batch.column(3).to_pylist(), batch.column(5).to_pylist()) * (100 + percent) <= (100 - percent) * (x + y)
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
+    return save(rows.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(batches(run), "a long, b long"), "join-near")
+
+
+def linked(pairs: DataFrame, packed: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by the sets themselves."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        open_ = zstandard.ZstdDecompressor()
+        b = batch.column(1).to_pylist()
+        keep = []
+        order = sorted(range(len(b)), key=b.__getitem__)
+        last, right = None, None
+        for i in order:
+            if b[i] != last:
+                last, right = b[i], shingles([open_.decompress(batch.column(3)[i].as_py())], width)[0]
+            left = shingles([open_.decompress(batch.column(2)[i].as_py())], width)[0]
+            n = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * n >= percent * (len(left) + len(right) - n):
+                keep.append(i)
+        return pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda c: packed.select(F.col("cls").alias(c), F.col("packed").alias(f"packed_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b")
+    return save(rows.mapInArrow(batches(run), "a long, b long"), "join-pairs")
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,7 +472,7 @@ def verify(found: DataFrame, percent: int, width: int) -> DataFrame:
     return found.groupBy("t", "i", "j").applyInArrow(run, LINKS)
 
 
-def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, small: int = SMALL, sketch_bytes: int = SKETCH_BYTES) -> DataFrame:
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, key (MD5 of the text) and component for every row of docs (doc_id, text).
 
     n_links counts the other rows whose set is similar to the row's own; component names
@@ -457,44 +481,53 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     bands = Bands(percent)
     meta = save(scan_sets(docs, width, bands), "join-sets")
-    ident = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "key")
-    classes = meta.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(ident).alias("first"), *(F.any_value(c).alias(c) for c in ("n_shingles", "band", "sketch")))
-    classes = save(classes.select("cls", "copies", "first.id", "first.key", F.col("n_shingles").alias("size"), "band", "sketch"), "join-classes")
-    buckets = max(1, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
-    near = split(components(candidate_edges(docs, bands, width, buckets)), classes, percent, small, sketch_bytes)
-    classes = classes.drop("size", "band", "sketch")
-    meta = meta.drop("band", "sketch")
-    counts = near.groupBy("label").agg(F.count("*").alias("n"))
-    tasks = max(1, -(-near.count() // TASK_CLASSES))
-    placed = near.join(counts, "label").select(F.col("v").alias("cls"), F.col("label").alias("comp"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(classes, "cls")
+    ident = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), "key")
+    classes = meta.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min(ident).alias("first"), *(F.any_value(c).alias(c) for c in ("n_shingles", "sketch")))
+    classes = save(classes.select("cls", "copies", "first.unnamed", "first.id", "first.key", F.col("n_shingles").alias("size"), "sketch"), "join-classes")
+    meta = meta.drop("sketch")
+    buckets = max(BUCKETS, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
+    met = candidates(docs, bands, width, buckets, hot)
+    units = components(met.where("hot").select("a", "b"))
+    pairs = met.where("not hot").select("a", "b").join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
+    pairs = pairs.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b")
+    near = near_pairs(pairs.select("a", "b"), classes, percent)
+    classes = classes.drop("size", "sketch")
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
         texts = encoded(batch.column(1))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["id", "key", "packed"]
+            [batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"]
         )
 
-    packed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInArrow(batches(pack), "id long, key binary, packed binary")
-    found = placed.join(packed, ["id", "key"]).dropDuplicates(["id", "key"])
+    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(units.select(F.col("v").alias("cls"))).distinct()
+    packed = docs.mapInArrow(batches(pack), "doc_id long, text_key binary, packed binary")
+    packed = wanted.join(classes.select("cls", "id", "key"), "cls").join(packed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("cls", "packed")
+    packed = save(packed.dropDuplicates(["cls"]), "join-texts")
+    links = linked(near, packed, percent, width)
+    # The hot units: blocks of one unit meet two by two, small units share a task.
+    counts = units.groupBy("label").agg(F.count("*").alias("n"))
+    tasks = max(1, -(-units.count() // TASK_CLASSES))
+    placed = units.join(counts, "label").select(F.col("v").alias("cls"), F.col("label").alias("comp"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(classes.select("cls", "copies"), "cls").join(packed, "cls")
     single = F.col("blocks") == 1
     others = F.explode(F.when(single, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found = found.withColumn("other", others).select(
+    found = placed.withColumn("other", others).select(
         F.when(single, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.col("comp")).alias("t"),
         F.when(single, F.lit(-1)).otherwise(F.least("block", "other")).alias("i"), F.when(single, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("j"),
         "comp", "cls", "copies", "block", "packed",
     )
-    links = save(verify(found, percent, width), "join-links")
-    labels = components(links.select("a", "b"))
-    totals = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    within = save(verify(found, percent, width), "join-links")
+    labels = components(within.select("a", "b").unionByName(links))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(classes.select(F.col("cls").alias("b"), "copies"), "b")
+    totals = within.select("a", "links").unionByName(both.select("a", F.col("copies").alias("links"))).groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     of_class = classes.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").join(totals, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = of_class.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = of_class.join(least, "label").select("cls", "label", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
+    least = of_class.groupBy("label").agg(F.min(F.struct("unnamed", "id")).alias("least"))
+    of_class = of_class.join(least, "label").select("cls", "label", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("least.id").alias("component_id"))
+    empty = F.col("cls").isNull()
     return meta.join(of_class, "cls", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.expr(f"nullif(component_id, {NULL_ID})")).alias("component_id"),
-        F.when(F.col("cls").isNull(), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "key", F.col("label").alias("component"),
+        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "key", F.col("label").alias("component"),
     )
 
 
@@ -503,11 +536,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of `docs` less all but one of each group: its first row by doc_id, then text digest. Empty sets stay."""
+    """The rows of `docs` less all but one of each group: its first row by doc_id (null last), then text digest. Empty sets stay.
+
+    Of rows with one doc_id and text, one stays if it is its group's first. Columns may have any names.
+    """
     joined = join(docs, width, percent)
-    ident = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("key").alias("_key"))
-    first = joined.where("component is not null").groupBy("component").agg(F.min(ident).alias("first")).select("first.*")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
+    own_id, own_key, first_id, first_key = fresh(docs.columns, "id", "key", "first_id", "first_key")
+    ident = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    first = joined.where("component is not null").groupBy("component").agg(F.min(ident).alias("first")).select(F.col("first.id").alias(first_id), F.col("first.key").alias(first_key))
+    rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.where(~wordless).join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    kept = rows.where(~wordless).join(first, F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(own_key) == F.col(first_key)), "left_semi").dropDuplicates([own_id, own_key])
     return kept.select(docs.columns).unionByName(rows.where(wordless).select(docs.columns))
