@@ -15,14 +15,16 @@ or the last third of a one-sentence item) are both covered to ``OVERLAP`` by
 
 Passages are two strides long and a stride is at least the longest item of the
 benchmark, so every item lies whole within a passage. Items are indexed in chunks
-of ``CHUNK_ITEMS``; only one chunk is broadcast at a time, and further chunks are
-further passes over the documents, so nothing unbounded is broadcast. Item count,
+of ``CHUNK_ITEMS``; one chunk's index is built and sent at a time, and further chunks are
+further passes over the documents, whose results are written in between. Item count,
 mean and greatest length and document frequencies are those of all items, so the
 chunks do not show in the result.
 
 Defined cases: null or empty texts, of documents or items, match nothing; equal
 items are each reported; repeated rows are kept; very long texts are cut into
-passages like others; ties are all returned; extra columns are ignored.
+passages like others; ties are all returned; extra columns are ignored by `find`
+and kept by `with_leaks`, whatever their names. The vectorised bound settles nearly all
+passages and block-max WAND only the few it leaves (46 of 5,589 at sf0.01); it is exact.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Mapping
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -263,11 +264,15 @@ def _chunks(items: DataFrame):
 LEAK = "array<struct<item_id long, score double, question double, answer double>>"
 
 
-def with_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` (with text) and a column `leaks` of the items found in each row."""
-    rows = small_batches(docs).withColumn("leaks", F.array().cast(LEAK))
+def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFrame:
+    """`docs` (with text) and a last column `name` of the items found in each row; a column that has this name is replaced.
+
+    Each chunk of items is one pass over the documents; between passes what is found so far is written, so one
+    index at a time is sent out and held."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    rows = small_batches(docs).select(*kept).withColumn(name, F.array().cast(LEAK))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
-    at = docs.columns.index("text")
+    at = kept.index("text")
 
     def step(index: Index):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -279,7 +284,9 @@ def with_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return batches(run)
 
-    return reduce(lambda df, index: df.mapInArrow(step(index), df.schema), _chunks(items), rows)
+    for k, index in enumerate(_chunks(items)):
+        rows = (save(rows, "decontamination-pass") if k else rows).mapInArrow(step(index), rows.schema)
+    return rows
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:

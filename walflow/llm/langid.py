@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read, small_batches
+from walflow.llm.common import batches, encoded, fresh, read, small_batches
 
 TRAIN_ROWS = 2000
 BUCKETS = 8192
@@ -165,11 +165,27 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(counts, [r.lang for r in sample])
 
 
+#: What `predict` adds.
+ADDED = ("held_out", "lang_pred", "score", "accepted")
+
+
+def known_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language the model accepts, with all their columns whatever these are called."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+        return batch.filter(pa.array([model.predict(None if t is None else t.decode("utf-8", "replace"))[2] for t in texts], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(batches(run), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of every row, with held_out, lang_pred, score and accepted."""
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, held_out().alias("held_out"), F.col("text").alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    """The columns `keep` of every row, with held_out, lang_pred, score and accepted (which replace columns of these names)."""
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in ADDED]
+    (own,) = fresh(docs.columns, "text")
+    rows = docs.select(*keep, held_out().alias("held_out"), F.col("text").alias(own))
+    fields = [f for f in rows.schema.fields if f.name != own]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [model.predict(None if t is None else t.decode("utf-8", "replace")) for t in batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()]

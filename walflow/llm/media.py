@@ -6,8 +6,8 @@ as a lossless 8-bit grey image file, into a content-addressed table in the share
 folder; tasks drop the copies they see, so a hot payload is stored a few times at
 most. ``read_back`` decodes the stored files, checks them and computes features,
 one row per digest. ``resolve`` joins the references of the sequences with that
-table by digest and restores positions and captions. No payload is ever shuffled:
-the digest join carries features only, and repeated digests are aggregated first.
+table by digest and restores positions and captions. Sources of the form `sha256:` name a
+payload, others the digest of their own text. No payload is ever shuffled: the digest join carries features only, and repeated digests are aggregated first.
 
 Defined cases: null text is an empty payload (64 zero bytes); null html an empty
 sequence; unknown digests give null media columns; repeated rows are kept; very
@@ -29,18 +29,19 @@ from walflow.llm.common import batches, encoded, read, save, sha
 WIDTH = 64
 SCHEME = "sha256:"
 ITEMS = "array<struct<position int, kind string, text string, digest string, caption string>>"
-_SILENT = {"script", "style", "head", "template", "noscript"}
+_SILENT = {"script", "style", "title", "template", "noscript"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "table", "tr", "td", "th", "br", "hr", "figure", "blockquote", "pre", "header", "footer", "body", "main", "aside"}
 
 
 class _Sequence(HTMLParser):
     """Collects text blocks and media references in document order; a figure's caption goes to its media."""
 
-    def __init__(self):
+    def __init__(self, shut: set[str]):
         super().__init__(convert_charrefs=True)
+        self.shut = shut  # elements whose text is not shown
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.silent = 0
+        self.silent: list[str] = []
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
 
@@ -51,9 +52,12 @@ class _Sequence(HTMLParser):
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag in _BLOCK:
+        if tag in self.shut:
+            self.silent.append(tag)
+            return
+        if self.silent:
+            return
+        if tag in _BLOCK:
             self.flush()
         if tag == "figure":
             self.figure = []
@@ -69,9 +73,11 @@ class _Sequence(HTMLParser):
             self.items.append({"position": len(self.items), "kind": "media", "text": source, "digest": source.removeprefix(SCHEME) if source.startswith(SCHEME) else sha(source.encode()), "caption": found.get("alt")})
 
     def handle_endtag(self, tag):
-        if tag in _SILENT and self.silent:
-            self.silent -= 1
-        elif tag == "figcaption" and self.caption is not None:
+        if self.silent:
+            if tag in self.silent:
+                del self.silent[self.silent.index(tag) :]
+            return
+        if tag == "figcaption" and self.caption is not None:
             caption = " ".join("".join(self.caption).split())
             for i in self.figure or []:
                 self.items[i]["caption"] = caption or self.items[i]["caption"]
@@ -87,11 +93,17 @@ class _Sequence(HTMLParser):
 
 
 def parse_sequence(html: str | None) -> list[dict]:
-    parser = _Sequence()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    """The items of a page in order. The text of a title, template or noscript that is never closed counts as shown."""
+    shut = set(_SILENT)
+    while True:
+        parser = _Sequence(shut)
+        parser.feed(html or "")
+        parser.close()
+        unclosed = {*parser.silent} - {"script", "style"}
+        if not unclosed:
+            parser.flush()
+            return parser.items
+        shut -= unclosed
 
 
 def sequences(pages: DataFrame, key: str) -> DataFrame:
@@ -174,10 +186,25 @@ def resolve(items: DataFrame, key: str, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left")
 
 
+def page(text, digest):
+    """A document as a page: its text, and its payload as a figure that the text's first 80 characters caption."""
+    escaped = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<p>"), escaped, F.lit(f'</p><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>'), F.substring(escaped, 1, 80), F.lit("</figcaption></figure>"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a page of its text and a figure that holds the text's bytes; the figure's payload is resolved by its digest."""
     docs = read(spark, sf_dir, "documents")
     media = read_back(store(docs))
     digest = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
-    html = F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('"></figure>'))
-    items = sequences(docs.select("doc_id", html.alias("html")), "doc_id")
+    items = sequences(docs.select("doc_id", page(F.col("text"), digest).alias("html")), "doc_id")
     return resolve(items, "doc_id", media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+
+
+def query_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, position, kind, text, caption, digest and, where the payload is stored, its n_bytes and feature, of every item of `pages`."""
+    pages, docs = read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents")
+    items = sequences(pages, "page_id")
+    listed = items.select("page_id", F.explode("items").alias("i")).select("page_id", "i.position", "i.kind", "i.text", "i.caption", "i.digest")
+    found = resolve(items, "page_id", read_back(store(docs))).select(F.col("page_id").alias("p"), F.col("position").alias("at"), "n_bytes", "feature")
+    return listed.join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("position") == F.col("at")), "left").drop("p", "at")

@@ -25,6 +25,7 @@ columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walflow.llm.common import batches, encoded, read, save, sha, small_batches
+from walflow.llm.common import batches, encoded, forget, fresh, read, save, sha, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
@@ -108,10 +109,12 @@ def tokens_before(text: str, start: int, known: dict[int, list[str]]) -> list[st
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, list[str]]]:
     """(start, end, seed, patterns) of the identifier runs; base entities are seeds and marked by their own span."""
-    out: list[tuple[int, int, bool, list[str]]] = []
-    taken = [(s, e) for s, _, e in base]
-    runs = [(s, e, True) for s, e in taken]
-    done = k = 0
+    out: list[tuple[int, int, bool]] = []
+    taken = sorted((s, e) for s, _, e in base)
+    reach: list[int] = []  # how far the base spans up to each go: kinds overlap
+    for _, e in taken:
+        reach.append(max(e, reach[-1] if reach else 0))
+    done = 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
             continue
@@ -119,23 +122,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         while left > done and text[left - 1] in _RUN:
             left -= 1
         done = right = _RUN_RIGHT.match(text, m.end()).end()
-        while k < len(taken) and taken[k][1] <= left:
-            k += 1
-        if any(s <= left and right <= e for s, e in taken[k : k + 8]):
+        before = bisect.bisect_right(taken, (left, len(text) + 1))
+        if before and reach[before - 1] >= right:  # within a base span, which starts no later
             continue
         run = text[left:right]
         n = sum(map(run.count, "0123456789"))
         if len(run) >= LEAST_CHARS and n >= LEAST_DIGITS:
-            out.append((left, right, len(run) >= SEED_CHARS and LEAST_DIGITS <= n < len(run), []))
+            out.append((left, right, len(run) >= SEED_CHARS and LEAST_DIGITS <= n < len(run)))
     known: dict[int, list[str]] = {}
-    for start, end, seed in [*runs, *[c[:3] for c in out]]:
+    found = []
+    for start, end, seed in [*((s, e, True) for s, e in taken), *out]:
         before = tokens_before(text, start, known)
-        patterns = [" ".join(before[-n:]) for n in range(1, len(before) + 1)]
-        if (start, end) in taken:
-            out.append((start, end, True, patterns))
-        else:
-            next(c for c in out if c[0] == start)[3].extend(patterns)
-    return out
+        found.append((start, end, seed, [" ".join(before[-n:]) for n in range(1, len(before) + 1)]))
+    return found
 
 
 CANDIDATES = "array<struct<start long, `end` long, base boolean, seed boolean, instance long, patterns array<string>>>"
@@ -182,10 +181,11 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, conf
         if turn == rounds - 1:
             return save(accepted, "pii-patterns")
         best = edges.join(accepted, "pattern").groupBy("instance").agg(F.max("pattern_score").alias("best"))
-        scored = save(
+        before, scored = scored, save(
             edges.join(best, "instance", "left").select("pattern", "instance", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("best", F.lit(0.0))).alias("score")),
             "pii-scores",
         )
+        forget(before)
 
 
 def found_spans(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -224,11 +224,12 @@ def redact_text(text: str, found: list) -> str:
 
 
 def redact(docs: DataFrame, extracted: DataFrame, column: str = "text") -> DataFrame:
-    """`docs` with the spans in `column` replaced; its other columns and rows as they are."""
+    """`docs` with the spans in `column` replaced; its other columns, whatever their names, and its rows as they are."""
     schema = docs.schema
-    rows = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_k", F.md5(F.coalesce(F.col(column).cast("binary"), F.lit(b""))))
-    spans = extracted.where(F.size("found") > 0).groupBy("doc_id", "key").agg(F.first("found").alias("_found")).withColumnsRenamed({"doc_id": "_e", "key": "_l"})
-    joined = rows.join(spans, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_k") == F.col("_l")), "left").select(*[rows[c] for c in docs.columns], "_found")
+    own_id, own_key, other_id, other_key, spans_name = fresh(docs.columns, "id", "key", "other_id", "other_key", "spans")
+    rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.md5(F.coalesce(F.col(column).cast("binary"), F.lit(b""))))
+    spans = extracted.where(F.size("found") > 0).groupBy(F.col("doc_id").alias(other_id), F.col("key").alias(other_key)).agg(F.first("found").alias(spans_name))
+    joined = rows.join(spans, F.col(own_id).eqNullSafe(F.col(other_id)) & (F.col(own_key) == F.col(other_key)), "left").select(*docs.columns, spans_name)
     names = list(docs.columns)
     at = names.index(column)
 
