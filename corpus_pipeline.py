@@ -12,30 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walflow.llm import bpe, decontaminate, jaccard_join, langid, pii
-from walflow.llm.common import read, save
+from walflow.llm.common import fresh, read, save
 
 #: Near duplicates share this many percent of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language the classifier rejects (no letter, or too low a score)."""
-    judged = langid.predict(docs, langid.train(docs), keep=docs.columns)
-    return judged.where("accepted").select(docs.columns)
+    """Drops the documents whose language the classifier rejects (null text, no letter, or too low a score).
+
+    An empty table stays empty; repeated rows are judged alike; columns may have any names."""
+    return langid.known_only(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates."""
+    """Keeps the first document of each group of near duplicates (by doc_id, null last, then text digest).
+
+    Null and wordless texts stay; of repeated rows one stays; an empty table stays empty; columns may have any names."""
     return jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    return decontaminate.with_leaks(docs, read(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    """Drops the documents that hold a benchmark item.
+
+    Null and empty texts hold none; repeated rows are judged alike; without items all stay; columns may have any names."""
+    (leaks,) = fresh(docs.columns, "leaks")
+    return decontaminate.with_leaks(docs, read(spark, sf_dir, "benchmark"), leaks).where(F.size(leaks) == 0).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind and brings n_chars up to date."""
+    """Replaces personal data by the name of its kind and brings n_chars up to date.
+
+    Null texts stay null (with their n_chars); repeated rows are treated alike; columns may have any names."""
     clean = pii.redact(docs, pii.extract(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -43,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document; a null text has no tokens."""
     return bpe.encode(docs, with_ids=True)
 
 
