@@ -131,14 +131,14 @@ def test_stream_state_and_restart(spark, tmp_path):
     spark.dataSource.register(WalSource)
 
     def run():
-        stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=21, checkpoint=str(tmp_path / "check")).load()
+        stream = spark.readStream.format("walflow_wal").options(path=str(tmp_path / "frames"), max_messages=15, checkpoint=str(tmp_path / "check")).load()
         return drain(start_stream(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "dead")))
 
     read = lambda: sorted(tuple(r) for r in sinks.read_changes(spark, str(tmp_path / "out")).drop("ts").collect())
-    assert len(run()) == 2
+    assert len(run()) == 3
     before = read()
     df.where("seq >= 40").write.mode("append").parquet(str(tmp_path / "frames"))
-    assert len(run()) == -(-(len(payloads) - 40) // 21) >= 2
+    assert len(run()) == -(-(len(payloads) - 40) // 15) >= 2
     done = replay(df)
     whole = sorted(tuple(r) for r in sinks.to_sink_rows(done.events).drop("ts").collect())
     assert 0 < len(before) < len(whole) == 24 and read() == whole
