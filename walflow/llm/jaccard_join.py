@@ -47,7 +47,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walflow.llm.common import batches, encoded, forget, fresh, read, save, text_bytes, small_batches, trim
@@ -56,7 +56,7 @@ from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slice
 SHINGLE, PERCENT = 4, 85
 COVER, SELECTIVE, FEW, TURNS, HOT, RARE, BLOCK = 8, 5.5, 8, 4, 16, 32, 1000
 #: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange and least number of buckets, classes per verifying task.
-CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS = 1_000_000, 8_000_000, 16, 400, 2048
+CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS = 1_000_000, 16_000_000, 64, 400, 2048
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
 SENT = 4
 
@@ -487,7 +487,9 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     meta = meta.drop("sketch")
     buckets = max(BUCKETS, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
     met = candidates(docs, bands, width, buckets, hot)
-    units = components(met.where("hot").select("a", "b"))
+    # A class has a root in each bucket: the roots are tied to the least of them, not the class to all.
+    roots = met.where("hot").withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    units = components(roots.select("a", F.col("least").alias("b")).unionByName(roots.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))))
     pairs = met.where("not hot").select("a", "b").join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
     pairs = pairs.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b")
     near = near_pairs(pairs.select("a", "b"), classes, percent)
