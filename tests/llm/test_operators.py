@@ -152,6 +152,58 @@ def test_similar_sets_share_a_signature_and_near_sketches(percent):
     assert similar > 5 and (percent < 80 or not met)  # sets with nothing in common do not meet over empty subsets
 
 
+def test_hot_signatures_lose_nothing_over_rounds():
+    random.seed(11)
+    common = [random.getrandbits(64) for _ in range(60)]
+    sets = []
+    for _ in range(90):
+        n = random.choice([5, 9, 20, 45, 120, 300, 700])
+        base = {*random.sample(common, min(n, 50) // 2), *(random.getrandbits(64) for _ in range(n))}
+        for _ in range(random.randint(1, 4)):
+            some = {*base} - {*random.sample(sorted(base), random.randint(0, len(base) // 25))}
+            sets.append(np.unique(np.array(sorted(some | {random.getrandbits(64) for _ in range(random.randint(0, 1 + n // 40))}), dtype=np.uint64)))
+    bands, hot, met, counts, sizes = jaccard_join.Bands(80), 3, set(), None, []
+    for round_ in range(jaccard_join.ROUNDS):
+        owner, found = jaccard_join.signatures(sets, bands, round_, counts)
+        groups = collections.defaultdict(set)
+        for x, s in zip(owner.tolist(), found.tolist()):
+            groups[s].add(x)
+        last = round_ == jaccard_join.ROUNDS - 1
+        met |= {(x, y) for g in groups.values() if last or len(g) <= hot for x in g for y in g if y < x}
+        counts = np.zeros((len(sets), 2), dtype=np.int64)
+        for s, g in groups.items():
+            for x in g if len(g) > hot else ():
+                counts[x, s & 1] += 1
+        sizes.append(int((counts.sum(axis=1) > 0).sum()))
+    assert sizes[0] > sizes[-1] > 0  # some go on, some have met all they have to
+    for x in range(len(sets)):
+        for y in range(x):
+            n = len(np.intersect1d(sets[x], sets[y]))
+            if sets[x].tolist() != sets[y].tolist() and 100 * n >= 80 * (len(sets[x]) + len(sets[y]) - n):
+                assert (x, y) in met
+
+
+def test_common_shingles_tie_no_unit_of_dissimilar_texts(spark, monkeypatch):
+    random.seed(12)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(20)) for k in range(8)]
+    docs = []
+    for d in range(240):
+        parts = random.sample(phrases, 4) + [" ".join(f"d{d}w{k}x{i}" for i in range(10)) for k in range(6)]
+        random.shuffle(parts)
+        docs.append((d, " ".join(parts)))
+    docs += [(1000 + k, docs[0][1].replace("d0w0x5", f"new{k}")) for k in range(12)]
+    seen, verify = [], jaccard_join.verify
+
+    def watched(found, *a):
+        seen.append(found.count())
+        return verify(found, *a)
+
+    monkeypatch.setattr(jaccard_join, "verify", watched)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join(frame(spark, docs), 4, 85, 10, 3).collect()}
+    assert got == {d: (0, 12) if d == 0 or d >= 1000 else (d, 0) for d, _ in docs}
+    assert 0 < sum(seen) <= 100  # rows that go to units in blocks; the 13 near copies are a unit of two blocks
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{k}" for k in range(100))
     docs = [(4, base), (2, base), (2, base), (9, base.replace("w50", "z")), (5, "else"), (6, None), (7, "")]

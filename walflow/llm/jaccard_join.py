@@ -17,9 +17,14 @@ other hashes (two sets that agree on nothing but an empty subset both do), and i
 last of ``TURNS`` empty subsets count.
 
 Signatures travel in binary rows, a few bytes each, and meet in buckets. A signature
-that up to ``HOT`` sets share makes each two of them a candidate pair, one that more
-share ties them into a hot unit; a pair within one unit is left to the unit. So a set
-makes at most (HOT - 1) / 2 pairs for each of its signatures, whatever the input.
+that up to ``HOT`` sets share makes each two of them a candidate pair; one that more
+share is hot and makes none. So a set makes at most (HOT - 1) / 2 pairs for each of its
+signatures, whatever the input. A set with as many groups without empty subsets or hot
+signatures as similar sets need has met every similar one all the same. The others go
+on to another round among themselves, with other hashes and signatures of more elements:
+there, what only common shingles had tied comes apart. After the last round (``ROUNDS``,
+or when few are left or no fewer) hot signatures tie their sets into units; a pair
+within one unit is left to the unit.
 
 Pairs are filtered without loss by parity sketches (a set's sketch tells for each
 cell of its hash domain whether it holds an odd number of elements: where two sketches
@@ -55,6 +60,8 @@ from walflow.llm.hashing import BYTE_BASE, LOWER, WORD_BASE, Rolling, mix, slice
 
 SHINGLE, PERCENT = 4, 85
 COVER, SELECTIVE, FEW, TURNS, HOT, RARE, BLOCK = 8, 5.5, 8, 4, 16, 32, 1000
+#: Rounds at most (a signature's name has room for TURNS * ROUNDS <= 16), and the share of the sets of one that the next must fall below to be followed.
+ROUNDS, FEWER = 4, 0.9
 #: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange and least number of buckets, classes per verifying task.
 CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS = 1_000_000, 16_000_000, 64, 400, 2048
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
@@ -103,19 +110,20 @@ def class_key(members: np.ndarray) -> int:
 
 
 @functools.lru_cache(maxsize=None)
-def shape(top: int, k: int) -> tuple[int, int, int, int]:
-    """(need, n1, n2, k2) for sets of up to `top` elements with k differences: the groups of which similar sets agree, but for k2 partitions, on one; groups, partitions of a group, and partitions left out."""
+def shape(top: int, k: int, again: bool = False) -> tuple[int, int, int, int]:
+    """(need, n1, n2, k2) for sets of up to `top` elements with k differences: the groups of which similar sets agree, but for k2 partitions, on one; groups, partitions of a group, and partitions left out. `again`: with more elements in a signature."""
     if k > FEW:
-        k2, n2 = (0, 1) if top >= SELECTIVE * k else (1, 3) if 2 * top / 3 >= COVER * k / 2 else (2, 5)
+        k2 = (0 if top >= SELECTIVE * k else 1 if 2 * top / 3 >= COVER * k / 2 else 2) + 2 * again
+        k2 = min(k2, 3)
         need = k // (k2 + 1) + 1
-        return need, need + max(1, need // 20), n2, k2
-    best = None
+        return need, need + max(1, need // 20), 2 * k2 + 1, k2
+    best, wish = None, COVER * (1 + again)
     for k2 in range(k + 1):
         n1 = k // (k2 + 1) + 1
         for n2 in range(k2 + 1, k2 + 13 if k2 else 2):
             count, cover = n1 * math.comb(n2, k2), top * (n2 - k2) / (n1 * n2)
-            if count <= max(top, k + 1):
-                rank = (cover >= COVER, -count if cover >= COVER else cover)
+            if count <= max(top, k + 1) * (1 + again):
+                rank = (cover >= wish, -count if cover >= wish else cover)
                 best = max(best or (rank, n1, n2, k2), (rank, n1, n2, k2))
     return best[1], *best[1:]
 
@@ -126,8 +134,27 @@ def subsets(n2: int, k2: int) -> np.ndarray:
     return np.array([[i not in c for c in itertools.combinations(range(n2), k2)] for i in range(n2)], dtype=np.int64)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, signature) of sets of hashes."""
+def spread(flat: np.ndarray, sizes: np.ndarray, groups: tuple[int, int, int, int], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets one after the other: sum of hashes and number of elements of each subset, a row per set, and each set's number of groups without empty subsets."""
+    _, n1, n2, k2 = groups
+    kept, n = subsets(n2, k2), len(sizes)
+    at = mix(flat ^ np.uint64(seed * 0x9E3779B1)) if seed else flat
+    cell = np.repeat(np.arange(n) * (n1 * n2), sizes) + ((at >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    sums, counts = np.zeros(n * n1 * n2, np.uint64), np.zeros(n * n1 * n2, np.int64)
+    sums[cell[first]] = np.add.reduceat(mix(flat)[order], first)
+    counts[cell[first]] = np.diff(np.append(first, len(cell)))
+    sums, counts = sums.reshape(-1, n2) @ kept.astype(np.uint64), counts.reshape(-1, n2) @ kept
+    return sums.reshape(n, -1), counts.reshape(n, -1), (counts > 0).all(axis=1).reshape(n, n1).sum(axis=1)
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, round_: int = 0, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, signature) of sets of hashes in round `round_`; the lowest bit is the instance's.
+
+    hot: how many signatures of each set were hot in the round before, in even and in odd instances; who has met every similar set there stays out.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     band = np.searchsorted(bands.tops, sizes)
     owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -136,24 +163,25 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         who = np.flatnonzero(((band == instance) | (band == instance - 1)) & (sizes > 0))
         if not k or not len(who):
             continue  # without differences only equal sets, which are one class
-        need, n1, n2, k2 = shape(int(bands.tops[instance]), k)
-        kept = subsets(n2, k2)
-        for turn in range(TURNS):
-            flat = np.concatenate([sets[i] for i in who])
-            at = mix(flat ^ np.uint64(turn * 0x9E3779B1)) if turn else flat
-            cell = np.repeat(np.arange(len(who)) * (n1 * n2), sizes[who]) + ((at >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
-            first = np.flatnonzero(np.diff(cell, prepend=-1))
-            sums, counts = np.zeros(len(who) * n1 * n2, np.uint64), np.zeros(len(who) * n1 * n2, np.int64)
-            sums[cell[first]] = np.add.reduceat(mix(flat)[order], first)
-            counts[cell[first]] = np.diff(np.append(first, len(cell)))
-            sums, counts = sums.reshape(-1, n2) @ kept.astype(np.uint64), counts.reshape(-1, n2) @ kept
-            name = np.arange(n1 * kept.shape[1], dtype=np.uint64) + (np.uint64(instance) << np.uint64(44)) + (np.uint64(turn) << np.uint64(40))
-            value = mix(mix(sums.reshape(len(who), -1)) ^ mix(name))
-            full = counts.reshape(len(who), -1) > 0
-            whole = (counts > 0).all(axis=1).reshape(len(who), n1).sum(axis=1) >= need
-            if turn == TURNS - 1:
+        top = int(bands.tops[instance])
+        if hot is not None:
+            who = who[hot[who, instance & 1] > 0]
+            if not len(who):
+                continue
+            before = shape(top, k, round_ > 1)
+            whole = spread(np.concatenate([sets[i] for i in who]), sizes[who], before, (round_ - 1) * TURNS)[2]
+            who = who[whole - hot[who, instance & 1] < before[0]]
+            if not len(who):
+                continue
+        groups = shape(top, k, round_ > 0)
+        need = groups[0]
+        for turn in range(round_ * TURNS, (round_ + 1) * TURNS):
+            sums, counts, whole = spread(np.concatenate([sets[i] for i in who]), sizes[who], groups, turn)
+            name = np.arange(sums.shape[1], dtype=np.uint64) + (np.uint64(instance) << np.uint64(44)) + (np.uint64(turn) << np.uint64(40))
+            value = mix(mix(sums) ^ mix(name)) & ~np.uint64(1) | np.uint64(instance & 1)
+            full = counts > 0
+            whole = whole >= need
+            if turn == (round_ + 1) * TURNS - 1:
                 full[~whole] = True
             row, column = np.nonzero(full)
             owners.append(who[row])
@@ -264,8 +292,8 @@ def pack_signatures(keys: np.ndarray, owner: np.ndarray, sigs: np.ndarray, bucke
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (a < b) of one bucket, and (class, least class of its hot unit here)."""
+def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a < b) of one bucket, and (class, least class of its hot unit here, its hot signatures in even and in odd instances)."""
     keys, sigs = [], []
     for blob in blobs:
         n = int.from_bytes(blob[:8], "little")
@@ -273,15 +301,17 @@ def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.n
         wide = np.zeros((len(keys[-1]), 8), dtype=np.uint8)
         wide[:, :SENT] = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, SENT)
         sigs.append(wide.view("<u8").ravel())
+    senders = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(k) for k in keys])
     keys, sigs = np.concatenate(keys), np.concatenate(sigs)
     order = np.argsort(sigs)
     sigs = sigs[order]
     twin = np.zeros(len(sigs) + 1, dtype=bool)
     twin[1:-1] = sigs[1:] == sigs[:-1]
     shared = twin[1:] | twin[:-1]  # what nothing else shares goes at once
-    sigs, names = sigs[shared], keys[order[shared]]
+    sigs, names, sender = sigs[shared], keys[order[shared]], senders[order[shared]]
     names, who = np.unique(names, return_inverse=True)
     total = max(1, len(names))
+    every, of = sigs, who
     once = np.lexsort((who, sigs))  # several chunks may send one class
     sigs, who = sigs[once], who[once]
     new = np.ones(len(sigs), dtype=bool)
@@ -304,15 +334,35 @@ def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.n
     root = np.repeat(who[first] if len(first) else who, size)
     label = local_components(who[large], root[large], total) if large.any() else np.arange(total)
     members = np.unique(who[large])
-    in_unit = np.zeros(total, dtype=bool)
-    in_unit[members] = True
     a, b = pairs // total, pairs % total
-    apart = ~(in_unit[a] & in_unit[b] & (label[a] == label[b]))  # a pair within a unit is the unit's
-    return names[a[apart]], names[b[apart]], names[members], names[label[members]]
+    # What one chunk sent counts, were its bytes equal or not: a count too low would lose links.
+    warm = np.flatnonzero(np.isin(every, sigs[large]))
+    sent, times = np.unique((of[warm] * 2 + (every[warm] & np.uint64(1)).astype(np.int64)) * len(blobs) + sender[warm], return_counts=True)
+    counts = np.zeros(2 * total, dtype=np.int64)
+    np.maximum.at(counts, sent // len(blobs), times)
+    return names[a], names[b], names[members], names[label[members]], counts.reshape(-1, 2)[members]
+
+
+def candidates(rows: DataFrame, bands: Bands, width: int, buckets: int, hot: int = HOT, round_: int = 0) -> DataFrame:
+    """(bucket, a, b, even, odd): candidate pairs of classes (bucket null) and (class, root) of what hot signatures tie in a bucket, with their numbers.
+
+    rows: (text) in the first round, then (cls, packed, even, odd)."""
 
+    def first(batch: pa.RecordBatch, seen: set[int]):
+        texts = encoded(batch.column(0))
+        for a, b in slices([len(t) for t in texts]):
+            new = {}
+            for s in shingles(list(dict.fromkeys(texts[a:b])), width):
+                if len(s) and (k := class_key(s)) not in seen:
+                    new.setdefault(k, s)
+            yield [*new], [*new.values()], None
 
-def candidates(docs: DataFrame, bands: Bands, width: int, buckets: int, hot: int = HOT) -> DataFrame:
-    """(a, b, hot): candidate pairs of classes and, where `hot`, (class, root) of the hot units, one or more a class."""
+    def later(batch: pa.RecordBatch, seen: set[int]):
+        open_ = zstandard.ZstdDecompressor()
+        keys, counts = batch.column(0).to_pylist(), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)], axis=1)
+        texts = [open_.decompress(p) for p in batch.column(1).to_pylist()]
+        for a, b in slices([len(t) for t in texts]):
+            yield keys[a:b], shingles(texts[a:b], width), counts[a:b]
 
     def deal(it):
         seen: set[int] = set()
@@ -324,33 +374,36 @@ def candidates(docs: DataFrame, bands: Bands, width: int, buckets: int, hot: int
             return pack_signatures(np.array(keys, dtype=np.int64), np.concatenate(owners), np.concatenate(sigs), buckets)
 
         for batch in it:
-            texts = encoded(batch.column(0))
-            for a, b in slices([len(t) for t in texts]):
-                new = []
-                for s in shingles(list(dict.fromkeys(texts[a:b])), width):
-                    if len(s) and (k := class_key(s)) not in seen:
-                        seen.add(k)
-                        keys.append(k)
-                        new.append(s)
+            for new, sets, counts in (later if round_ else first)(batch, seen):
                 if new:
-                    owner, found = signatures(new, bands)
-                    owners.append(owner + (len(keys) - len(new)))
+                    owner, found = signatures(sets, bands, round_, counts)
+                    owners.append(owner + len(keys))
                     sigs.append(found)
                     held += len(found)
+                    seen.update(new)
+                    keys += new
                 if held > CHUNK:
                     yield out()
-                    seen, keys, owners, sigs, held = set(), [], [], [], 0
+                    seen.clear()
+                    keys, owners, sigs, held = [], [], [], 0
         if held:
             yield out()
         trim()
 
     def meet(table: pa.Table) -> pa.Table:
-        a, b, member, root = meetings(table.column("blob").to_pylist(), hot)
+        a, b, member, root, counts = meetings(table.column("blob").to_pylist(), hot)
         trim()
-        return pa.table({"a": np.concatenate([a, member]), "b": np.concatenate([b, root]), "hot": np.arange(len(a) + len(member)) >= len(a)})
+        bucket = pa.array([None] * len(a) + [table.column("bucket")[0].as_py()] * len(member), pa.int64())
+        even, odd = (np.concatenate([np.zeros(len(a), np.int64), counts[:, c]]) for c in (0, 1))
+        return pa.table({"bucket": bucket, "a": np.concatenate([a, member]), "b": np.concatenate([b, root]), "even": even, "odd": odd})
+
+    dealt = rows.mapInArrow(deal, "bucket long, blob binary")
+    return save(dealt.groupBy("bucket").applyInArrow(meet, "bucket long, a long, b long, even long, odd long").distinct(), "join-met")
+
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, blob binary")
-    return save(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, hot boolean").distinct(), "join-met")
+def hot_classes(met: DataFrame) -> DataFrame:
+    """(cls, even, odd): the classes with hot signatures, and how many they have in even and in odd instances."""
+    return save(met.where("bucket is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("even").alias("even"), F.sum("odd").alias("odd")), "join-hot")
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -486,14 +539,9 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     classes = save(classes.select("cls", "copies", "first.unnamed", "first.id", "first.key", F.col("n_shingles").alias("size"), "sketch"), "join-classes")
     meta = meta.drop("sketch")
     buckets = max(BUCKETS, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
-    met = candidates(docs, bands, width, buckets, hot)
-    # A class has a root in each bucket: the roots are tied to the least of them, not the class to all.
-    roots = met.where("hot").withColumn("least", F.min("b").over(Window.partitionBy("a")))
-    units = components(roots.select("a", F.col("least").alias("b")).unionByName(roots.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))))
-    pairs = met.where("not hot").select("a", "b").join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
-    pairs = pairs.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b")
-    near = near_pairs(pairs.select("a", "b"), classes, percent)
-    classes = classes.drop("size", "sketch")
+    met = candidates(docs.select("text"), bands, width, buckets, hot)
+    near = near_pairs(met.where("bucket is null").select("a", "b"), classes, percent)
+    tied = hot_classes(met)
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
@@ -502,11 +550,29 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
             [batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"]
         )
 
-    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(units.select(F.col("v").alias("cls"))).distinct()
+    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(tied.select("cls")).distinct()
     packed = docs.mapInArrow(batches(pack), "doc_id long, text_key binary, packed binary")
     packed = wanted.join(classes.select("cls", "id", "key"), "cls").join(packed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("cls", "packed")
     packed = save(packed.dropDuplicates(["cls"]), "join-texts")
-    links = linked(near, packed, percent, width)
+    left, round_ = tied.count(), 0
+    while left > block and round_ + 1 < ROUNDS:
+        round_ += 1
+        rows = packed.join(tied, "cls").select("cls", "packed", "even", "odd")
+        forget(met)
+        met = candidates(rows, bands, width, buckets, hot, round_)
+        near = near.unionByName(near_pairs(met.where("bucket is null").select("a", "b"), classes, percent))
+        tied, last = hot_classes(met), tied
+        forget(last)
+        before, left = left, tied.count()
+        if left > FEWER * before:
+            break
+    classes = classes.drop("size", "sketch")
+    # A class has a root in each bucket: the roots are tied to the least of them, not the class to all.
+    roots = met.where("bucket is not null").withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    units = components(roots.select("a", F.col("least").alias("b")).unionByName(roots.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))))
+    near = near.distinct().join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
+    near = near.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b")
+    links = linked(near.select("a", "b"), packed, percent, width)
     # The hot units: blocks of one unit meet two by two, small units share a task.
     counts = units.groupBy("label").agg(F.count("*").alias("n"))
     tasks = max(1, -(-units.count() // TASK_CLASSES))
