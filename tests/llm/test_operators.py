@@ -231,6 +231,25 @@ def test_bpe_equals_library(spark):
     assert model.merge_many(symbols) == [model.merge(s) for s in symbols]
 
 
+def test_bpe_keeps_recurring_pieces_over_full_tables(monkeypatch):
+    random.seed(14)
+    word = lambda: "".join(random.choice("etaoinshr") for _ in range(random.randint(2, 90)))
+    recurring = sorted({word() for _ in range(40)})
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 100)
+    model = bpe.Bpe(bpe.default_path())
+    learned, keep = collections.Counter(), model.keep
+    monkeypatch.setattr(model, "keep", lambda pieces, *a: (learned.update(pieces), keep(pieces, *a)))
+    for k in range(12):
+        texts = ["  ".join(random.sample(recurring, 30) + [word() + "," for _ in range(20)]) for _ in range(4)] + ["", " <|endoftext|>\n", f"a<|endoftext|>'s{k}"]
+        random.shuffle(texts)
+        for t, (n, ids, decoded) in zip(texts, model.encode_texts(texts)):
+            want = [i for w in t.split() for p in model.split(w) for i in ([model.specials[p]] if p in model.specials else model.merge(model.symbols_of(p)))]
+            assert n == len(want) and np.frombuffer(ids, "<u4").tolist() == want and bytes(decoded).decode() == model.decode(want)
+    assert all(learned[w] <= 1 for w in recurring)  # the tables were full several times meanwhile
+    assert len(model.young) < 400 and sum(learned.values()) > 700
+    assert [r[0] for r in model.encode_texts(["", "\n"])] == [0, 0] and model.encode_texts([]) == []
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "http://A.com", "http://a.com/x?q#f", "https://EXAMPLE.com/en/1", "http://m.example.com/en/", "http://www.example.com/en/2", "http://badexample.com/en/", "http://x.net/es/a", "http://x.net/de/", "http://net/fr/", "http://x.net?/fr/", "x://b.com//en/", "http://example.com/en"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls + urls)], "page_id long, url string, host string, rule string")

@@ -9,7 +9,8 @@ The pipeline around it is that of the tokenizer file: special tokens are cut out
 of the raw text, the rest is normalised (NFC, white space to blanks, lower case
 by character), split by the file's pattern, mapped to byte symbols, and the last
 symbol carries the word end. Every step is local to a stretch between white
-space, so encodings are kept by stretch in a bounded table per worker.
+space, so a slice of texts is encoded by its distinct stretches and put together by
+Arrow; encodings of pieces are kept in a bounded table per worker.
 
 Defined cases: null text counts as empty and gives no tokens; very long texts
 are taken whole; extra columns are ignored; repeated rows are kept.
@@ -18,6 +19,7 @@ are taken whole; extra columns are ignored; repeated rows are kept.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 
@@ -29,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from walflow.llm.common import batches, encoded, read, sha, small_batches
 from walflow.llm.hashing import slices
 
-#: Stretches and pieces kept per worker process; a table is emptied when it is full.
+#: Pieces kept per worker process and generation: a full table becomes the old one, and what is found there is kept on.
 CACHE_ENTRIES = 220_000
+#: Bytes of text whose distinct stretches are encoded at once.
+TEXT_BYTES = 4_000_000
 #: Pieces up to this many symbols are merged many at a time, one tree per row of an array.
 WIDE = 64
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -78,6 +82,14 @@ class SegmentTree:
             i >>= 1
 
 
+def strung(values: pa.Array, code: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The values at `code` one after the other, and where each begins and the last ends."""
+    if not len(code):
+        return pa.py_buffer(b""), np.zeros(1, dtype=np.int64)
+    taken = values.take(pa.array(code))
+    return taken.buffers()[2] or pa.py_buffer(b""), np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -93,8 +105,16 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = [self.vocab.get(s, -1) for s in symbols]
         self.final = [self.vocab.get(s + self.suffix, -1) for s in symbols]
-        self.kept: dict[str, tuple[int, bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        if self.piece.search("\n"):
+            raise ValueError("the file's pattern must not match white space")
+        self.lines = regex.compile("\n|" + self.piece.pattern)
+        self.symbols = np.array([self.inner, self.final], dtype=np.int64)
+        self.spaced = pa.array([(self.names[i] + " ").encode() if i in self.names else b"" for i in range(max(self.names) + 1)], pa.large_binary())
+        # Ids as little-endian uint32 and tokens, each with a blank behind it, of pieces.
+        fixed = {t: (np.array([i], dtype="<u4").tobytes(), (t + " ").encode()) for t, i in self.specials.items()}
+        self.fixed: dict[str, tuple[bytes, bytes]] = fixed | {"\n": (b"", b"")}
+        self.young: dict[str, tuple[bytes, bytes]] = dict(self.fixed)
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         keys = np.array([a << 20 | b for a, b in self.merges], dtype=np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -139,14 +159,18 @@ class Bpe:
         return np.where(self.keys[found] == keys, self.ranks[found] * WIDE + at, NONE)
 
     def merge_many(self, words: list[list[int]]) -> list[list[int]]:
-        """`merge` of words of 2 to WIDE symbols: the same trees, a step of all words at once."""
-        n = len(words)
-        lens = np.array([len(w) for w in words])
+        """`merge` of words of 2 to WIDE symbols."""
+        flat, counts = self.merge_flat(np.concatenate([np.array(w, dtype=np.int64) for w in words]), np.array([len(w) for w in words]))
+        return [part.tolist() for part in np.split(flat, np.cumsum(counts)[:-1])]
+
+    def merge_flat(self, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`merge` of words of 2 to WIDE symbols, one after the other: the same trees, a step of all words at once. Symbols and their number in each word."""
+        n = len(lens)
         width = int(lens.max())
         size = 1 << (width - 2).bit_length() if width > 2 else 1
         inside = np.arange(width) < lens[:, None]
         symbols = np.full((n, width), -1, dtype=np.int64)
-        symbols[inside] = np.concatenate([np.array(w, dtype=np.int64) for w in words])
+        symbols[inside] = flat
         after = np.tile(np.arange(1, width + 1), (n, 1))
         before = np.tile(np.arange(-1, width - 1), (n, 1))
         tree = np.full((n, 2 * size), NONE, dtype=np.int64)
@@ -184,43 +208,63 @@ class Bpe:
                 tree[rows, spots] = np.minimum(tree[rows, 2 * spots], tree[rows, 2 * spots + 1])
             live = live[tree[live, 1] < NONE]
         keep = symbols >= 0
-        flat, ends = symbols[keep].tolist(), np.cumsum(keep.sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        return symbols[keep], keep.sum(axis=1)
 
     def symbols_of(self, piece: str) -> list[int]:
         data = piece.encode()
         symbols = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
         return [s for s in symbols if s >= 0]
 
-    def learn_pieces(self, pieces: set[str]) -> None:
+    def keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        ends = np.cumsum(counts)
+        tokens, at = strung(self.spaced, ids)
+        ids, tokens, cuts, at = ids.astype("<u4").tobytes(), tokens.to_pybytes(), (4 * ends).tolist(), at[ends].tolist()
+        self.young.update(zip(pieces, [(ids[a:b], tokens[c:d]) for a, b, c, d in zip([0, *cuts], cuts, [0, *at], at)]))
+
+    def learn_pieces(self, pieces: list[str]) -> None:
         """Encodes the pieces not yet known."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        by_size: dict[int, list[str]] = {}
-        made: dict[str, list[int]] = {}
-        for p in pieces:
-            if p not in self.pieces:
-                made[p] = s = self.symbols_of(p)
-                if len(s) > WIDE:
-                    made[p] = self.merge(s)
-                elif len(s) > 1:
-                    by_size.setdefault((len(s) - 2).bit_length(), []).append(p)
-        for group in by_size.values():
-            for a in range(0, len(group), 20_000):
-                part = group[a : a + 20_000]
-                made.update(zip(part, self.merge_many([made[p] for p in part])))
-        self.pieces.update(made)
-
-    def split(self, stretch: str) -> list[str | int]:
-        """The pieces of text without white space; ids of special tokens stand for themselves."""
-        if "<|" not in stretch:
-            return self.piece.findall(self.plain(stretch))
-        out: list[str | int] = []
+        new = []
+        for p in set(pieces).difference(self.young):
+            if found := self.old.get(p):
+                self.young[p] = found
+            else:
+                new.append(p)
+        if not new:
+            return
+        data = [p.encode() for p in new]
+        lens = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        final = np.zeros(len(flat), dtype=np.int64)
+        final[np.cumsum(lens) - 1] = 1
+        symbols = self.symbols[final, flat]
+        if (symbols < 0).any():  # bytes that the vocabulary lacks are left out
+            lens = np.add.reduceat((symbols >= 0).astype(np.int64), np.cumsum(lens) - lens)
+            symbols = symbols[symbols >= 0]
+        starts = np.cumsum(lens) - lens
+        few = np.flatnonzero(lens < 2)
+        self.keep([new[i] for i in few], symbols[starts[few][lens[few] > 0]], lens[few])
+        for i in np.flatnonzero(lens > WIDE).tolist():
+            ids = np.array(self.merge(symbols[starts[i] : starts[i] + lens[i]].tolist()), dtype=np.int64)
+            self.keep([new[i]], ids, np.array([len(ids)]))
+        low = 2
+        while low <= WIDE:
+            high = max(low, 2 * low - 3)  # trees of one height
+            group = np.flatnonzero((lens >= low) & (lens <= min(high, WIDE)))
+            for part in np.split(group, range(20_000, len(group), 20_000)):
+                if len(part):
+                    n = lens[part]
+                    at = np.arange(int(n.sum())) + np.repeat(starts[part] - (np.cumsum(n) - n), n)
+                    self.keep([new[i] for i in part], *self.merge_flat(symbols[at], n))
+            low = high + 1
+
+    def split(self, stretch: str) -> list[str]:
+        """The pieces and special tokens of text without white space."""
+        out: list[str] = []
         at = 0
         for m in [*self.special.finditer(stretch), None]:
             out += self.piece.findall(self.plain(stretch[at : m.start() if m else len(stretch)]))
             if m:
-                out.append(self.specials[m.group()])
+                out.append(m.group())
                 at = m.end()
         return out
 
@@ -232,21 +276,37 @@ class Bpe:
         # lower() of a whole word knows a final sigma; by character there is none.
         return text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
-        """(number of tokens, ids as little-endian uint32, decoded text) of each text."""
-        if len(self.kept) > CACHE_ENTRIES:
-            self.kept.clear()
+    def encode_texts(self, texts: list[str]) -> list[tuple[int, memoryview, memoryview]]:
+        """(number of tokens, ids as little-endian uint32, decoded text in UTF-8) of each text."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, dict(self.fixed)
         cut = [_GAPS.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {w: self.split(w) for w in set().union(*cut) - self.kept.keys()}
-        self.learn_pieces({p for ps in new.values() for p in ps if type(p) is str})
-        for w, ps in new.items():
-            ids = [i for p in ps for i in (self.pieces[p] if type(p) is str else (p,))]
-            self.kept[w] = len(ids), np.array(ids, dtype="<u4").tobytes(), self.decode(ids)
-        out = []
-        for stretches in cut:
-            found = [f for f in map(self.kept.__getitem__, stretches) if f[0]]
-            out.append((sum([f[0] for f in found]), b"".join([f[1] for f in found]), " ".join([f[2] for f in found])))
-        return out
+        every = list(itertools.chain.from_iterable(cut))
+        stretches = list(dict.fromkeys(every))
+        special = [w for w in stretches if "<|" in w]
+        if special:
+            stretches = [w for w in stretches if "<|" not in w] + special
+        # Pieces of the distinct stretches, a line end behind each stretch.
+        pieces = self.lines.findall(self.plain("".join([w + "\n" for w in stretches[: len(stretches) - len(special)]])))
+        for w in special:
+            pieces += [*self.split(w), "\n"]
+        distinct = list(dict.fromkeys(pieces))
+        self.learn_pieces(distinct)
+        known = list(map(self.young.__getitem__, distinct))
+        place = dict(zip(distinct, range(len(distinct))))
+        code = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.append(0, np.flatnonzero(code == place.get("\n", -1)) + 1)
+        place = dict(zip(stretches, range(len(stretches))))
+        rows = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+        borders = np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))
+        parts = []
+        for side in (0, 1):
+            data, at = strung(pa.array([k[side] for k in known], pa.large_binary()), code)
+            by_stretch = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stretches), [None, pa.py_buffer(at[ends]), data])
+            data, at = strung(by_stretch, rows)
+            parts.append((memoryview(data), at[borders].tolist()))
+        (ids, a), (text, b) = parts
+        return [((a[i + 1] - a[i]) // 4, ids[a[i] : a[i + 1]], text[b[i] : max(b[i], b[i + 1] - 1)]) for i in range(len(texts))]
 
     def decode(self, ids) -> str:
         """The tokens of `ids` joined by blanks, as a tokenizer without a decoder does; unknown ids are left out."""
@@ -266,8 +326,8 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(where)
         texts = [t.decode("utf-8", "replace") for t in encoded(batch.column(1))]
-        rows = [r for a, b in slices([len(t) for t in texts]) for r in bpe.encode_texts(texts[a:b])]
-        columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2].encode()) for r in rows], pa.string())]
+        rows = [r for a, b in slices([len(t) for t in texts], TEXT_BYTES) for r in bpe.encode_texts(texts[a:b])]
+        columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
             flat = np.frombuffer(b"".join([r[1] for r in rows]), dtype="<u4").astype(np.int32)
