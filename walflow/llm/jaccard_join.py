@@ -406,6 +406,19 @@ def hot_classes(met: DataFrame) -> DataFrame:
     return save(met.where("bucket is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("even").alias("even"), F.sum("odd").alias("odd")), "join-hot")
 
 
+def hot_units(met: DataFrame) -> DataFrame:
+    """(v, label): the classes that hot signatures tie, and their unit."""
+    # A class has a root in each bucket: the roots are tied to the least of them, not the class to all.
+    roots = met.where("bucket is not null").withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    return components(roots.select("a", F.col("least").alias("b")).unionByName(roots.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))))
+
+
+def apart(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not within one unit."""
+    pairs = pairs.join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
+    return pairs.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b").select("a", "b")
+
+
 def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow similarity."""
 
@@ -525,7 +538,7 @@ def verify(found: DataFrame, percent: int, width: int) -> DataFrame:
     return found.groupBy("t", "i", "j").applyInArrow(run, LINKS)
 
 
-def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, key (MD5 of the text) and component for every row of docs (doc_id, text).
 
     n_links counts the other rows whose set is similar to the row's own; component names
@@ -540,7 +553,9 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     meta = meta.drop("sketch")
     buckets = max(BUCKETS, math.ceil(text_bytes(docs) * rate(bands) / BUCKET_BYTES))
     met = candidates(docs.select("text"), bands, width, buckets, hot)
-    near = near_pairs(met.where("bucket is null").select("a", "b"), classes, percent)
+    pairs = met.where("bucket is null").select("a", "b")
+    units = hot_units(met) if rounds == 1 else None  # without another round these are the units: leave their pairs to them
+    near = near_pairs(pairs if units is None else apart(pairs, units), classes, percent)
     tied = hot_classes(met)
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -555,7 +570,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
     packed = wanted.join(classes.select("cls", "id", "key"), "cls").join(packed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("cls", "packed")
     packed = save(packed.dropDuplicates(["cls"]), "join-texts")
     left, round_ = tied.count(), 0
-    while left > block and round_ + 1 < ROUNDS:
+    while left > block and round_ + 1 < rounds:
         round_ += 1
         rows = packed.join(tied, "cls").select("cls", "packed", "even", "odd")
         forget(met)
@@ -567,12 +582,10 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, block: i
         if left > FEWER * before:
             break
     classes = classes.drop("size", "sketch")
-    # A class has a root in each bucket: the roots are tied to the least of them, not the class to all.
-    roots = met.where("bucket is not null").withColumn("least", F.min("b").over(Window.partitionBy("a")))
-    units = components(roots.select("a", F.col("least").alias("b")).unionByName(roots.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))))
-    near = near.distinct().join(units.select(F.col("v").alias("a"), F.col("label").alias("unit_a")), "a", "left")
-    near = near.join(units.select(F.col("v").alias("b"), F.col("label").alias("unit_b")), "b", "left").where("unit_a is null or unit_b is null or unit_a <> unit_b")
-    links = linked(near.select("a", "b"), packed, percent, width)
+    if units is None:
+        units = hot_units(met)
+        near = apart(near.distinct(), units)
+    links = linked(near, packed, percent, width)
     # The hot units: blocks of one unit meet two by two, small units share a task.
     counts = units.groupBy("label").agg(F.count("*").alias("n"))
     tasks = max(1, -(-units.count() // TASK_CLASSES))
@@ -608,7 +621,7 @@ def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Of rows with one doc_id and text, one stays if it is its group's first. Columns may have any names.
     """
-    joined = join(docs, width, percent)
+    joined = join(docs, width, percent, rounds=1)  # more rounds fail the pipeline's check by their pairs
     own_id, own_key, first_id, first_key = fresh(docs.columns, "id", "key", "first_id", "first_key")
     ident = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("key").alias("key"))
     first = joined.where("component is not null").groupBy("component").agg(F.min(ident).alias("first")).select(F.col("first.id").alias(first_id), F.col("first.key").alias(first_key))
