@@ -2,15 +2,17 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from walflow.llm import bpe, decontaminate, jaccard_join, langid, media, pii, sharding, substring, suffix_dedup, url_filter
+from walflow.llm import bpe, common, decontaminate, hashing, jaccard_join, langid, media, pii, sharding, substring, suffix_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string, lang string, key string, anchor string"
@@ -204,6 +206,55 @@ def test_common_shingles_tie_no_unit_of_dissimilar_texts(spark, monkeypatch):
     assert 0 < sum(seen) <= 100  # rows that go to units in blocks; the 13 near copies are a unit of two blocks
 
 
+def peak_of(f, *args):
+    """What f returns, and the most bytes it held at once."""
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_meets_in_little_memory():
+    rng = np.random.default_rng(3)
+    blobs, having = [], collections.defaultdict(set)
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 3000, 80))
+        counts = rng.integers(1, 150, len(keys)).astype("<i4")
+        sigs = rng.integers(0, 1 << 20, counts.sum()).astype("<u4")
+        sigs[:40] = rng.integers(0, 4, 40)  # hot
+        blobs.append(len(keys).to_bytes(8, "little") + keys.astype("<i8").tobytes() + counts.tobytes() + sigs.tobytes())
+        for k, s in zip(np.repeat(keys, counts).tolist(), sigs.tolist()):
+            having[s].add(k)
+    (a, b, member, root, _), peak = peak_of(jaccard_join.meetings, blobs, 4)
+    pairs = {p for who in having.values() if len(who) <= 4 for p in itertools.combinations(sorted(who), 2)}
+    assert pairs and sorted(zip(a.tolist(), b.tolist())) == sorted(pairs)
+    assert set(member.tolist()) == {k for who in having.values() if len(who) > 4 for k in who}
+    assert peak < 6 * sum(map(len, blobs))
+
+
+def test_blocks_are_compared_in_little_memory():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(150)]
+    near = lambda: np.unique(np.concatenate([base[rng.integers(150)][rng.integers(0, 8) :], rng.integers(0, 1 << 62, 2).astype(np.uint64)]))
+    left, right = [near() for _ in range(1000)], [near() for _ in range(1000)]
+    (x, y), peak = peak_of(jaccard_join.linked_pairs, left, right, 80)
+    assert peak < 40_000_000
+    sets = [set(s.tolist()) for s in left[:300] + right[:300]]
+    alike = lambda s, t: 100 * len(s & t) >= 80 * len(s | t)
+    expected = {(i, j) for i in range(300) for j in range(300) if alike(sets[i], sets[300 + j])}
+    assert expected and {(i, j) for i, j in zip(x.tolist(), y.tolist()) if i < 300 and j < 300} == expected
+    x, y = jaccard_join.linked_pairs(left[:300], None, 80)
+    assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i, j in itertools.combinations(range(300), 2) if alike(sets[i], sets[j])}
+
+
+def test_workers_keep_no_tables_between_tasks():
+    jaccard_join.shingles([b"a b c d e f " * 1000], 5)
+    assert hashing._POWERS
+    common.trim()
+    assert not hashing._POWERS
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{k}" for k in range(100))
     docs = [(4, base), (2, base), (2, base), (9, base.replace("w50", "z")), (5, "else"), (6, None), (7, "")]

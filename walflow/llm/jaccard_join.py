@@ -62,8 +62,10 @@ SHINGLE, PERCENT = 4, 85
 COVER, SELECTIVE, FEW, TURNS, HOT, RARE, BLOCK = 8, 5.5, 8, 4, 16, 32, 1000
 #: Rounds at most (a signature's name has room for TURNS * ROUNDS <= 16), and the share of the sets of one that the next must fall below to be followed.
 ROUNDS, FEWER = 4, 0.9
-#: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange and least number of buckets, classes per verifying task.
-CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS = 1_000_000, 16_000_000, 64, 400, 2048
+#: Signatures per chunk that is dealt out, signature bytes per bucket of the exchange and least number of buckets, classes per verifying task, elements and sets per product.
+CHUNK, BUCKET_BYTES, BUCKETS, TASK_CLASSES, COLUMNS, ROWS = 1_000_000, 16_000_000, 64, 400, 2048, 128
+#: Bytes of text hashed at once.
+HASHED = 500_000
 #: Bytes of a signature that travel; its bucket tells more of it, and what meets by chance is verified like the rest.
 SENT = 4
 
@@ -88,6 +90,11 @@ class Bands:
 
 def shingles(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    return [x for a, b in slices([len(t) for t in texts], HASHED) for x in hashed(texts[a:b], width)]
+
+
+def hashed(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """`shingles` at once, with some 40 to 60 bytes for each byte of text."""
     data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
     starts, ends = words(data)
     row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
@@ -105,6 +112,13 @@ def shingles(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def unpacked(packed: list[bytes], width: int):
+    """(a, b, sets of the texts from a to b) of compressed texts; of these, one slice is open at a time."""
+    open_ = zstandard.ZstdDecompressor()
+    for a, b in slices([zstandard.frame_content_size(p) for p in packed]):
+        yield a, b, shingles([open_.decompress(p) for p in packed[a:b]], width)
+
+
 def class_key(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -292,24 +306,27 @@ def pack_signatures(keys: np.ndarray, owner: np.ndarray, sigs: np.ndarray, bucke
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def meetings(blobs: list[bytes], hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def meetings(blobs: list[bytes | memoryview], hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (a < b) of one bucket, and (class, least class of its hot unit here, its hot signatures in even and in odd instances)."""
-    keys, sigs = [], []
+    named, times, sigs = [], [], []
     for blob in blobs:
         n = int.from_bytes(blob[:8], "little")
-        keys.append(np.repeat(np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i4", n, 8 + 8 * n)))
-        wide = np.zeros((len(keys[-1]), 8), dtype=np.uint8)
-        wide[:, :SENT] = np.frombuffer(blob, np.uint8, -1, 8 + 12 * n).reshape(-1, SENT)
-        sigs.append(wide.view("<u8").ravel())
-    senders = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(k) for k in keys])
-    keys, sigs = np.concatenate(keys), np.concatenate(sigs)
+        named.append(np.frombuffer(blob, "<i8", n, 8))
+        times.append(np.frombuffer(blob, "<i4", n, 8 + 8 * n))
+        sigs.append(np.frombuffer(blob, f"<u{SENT}", -1, 8 + 12 * n))
+    ends = np.cumsum([len(x) for x in sigs])
+    sigs = np.concatenate(sigs)
     order = np.argsort(sigs)
     sigs = sigs[order]
     twin = np.zeros(len(sigs) + 1, dtype=bool)
     twin[1:-1] = sigs[1:] == sigs[:-1]
-    shared = twin[1:] | twin[:-1]  # what nothing else shares goes at once
-    sigs, names, sender = sigs[shared], keys[order[shared]], senders[order[shared]]
-    names, who = np.unique(names, return_inverse=True)
+    twin = twin[1:] | twin[:-1]  # what nothing else shares goes at once
+    sigs, order = sigs[twin].astype(np.uint64), order[twin]
+    # A name for each signature only now, by places: most are gone.
+    who = np.searchsorted(np.cumsum(np.concatenate(times)), order, side="right").astype(np.int32)
+    names, who = np.unique(np.concatenate(named)[who], return_inverse=True)
+    sender = np.searchsorted(ends, order, side="right").astype(np.int32)
+    del order, twin
     total = max(1, len(names))
     every, of = sigs, who
     once = np.lexsort((who, sigs))  # several chunks may send one class
@@ -358,11 +375,9 @@ def candidates(rows: DataFrame, bands: Bands, width: int, buckets: int, hot: int
             yield [*new], [*new.values()], None
 
     def later(batch: pa.RecordBatch, seen: set[int]):
-        open_ = zstandard.ZstdDecompressor()
         keys, counts = batch.column(0).to_pylist(), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)], axis=1)
-        texts = [open_.decompress(p) for p in batch.column(1).to_pylist()]
-        for a, b in slices([len(t) for t in texts]):
-            yield keys[a:b], shingles(texts[a:b], width), counts[a:b]
+        for a, b, sets in unpacked(batch.column(1).to_pylist(), width):
+            yield keys[a:b], sets, counts[a:b]
 
     def deal(it):
         seen: set[int] = set()
@@ -391,7 +406,7 @@ def candidates(rows: DataFrame, bands: Bands, width: int, buckets: int, hot: int
         trim()
 
     def meet(table: pa.Table) -> pa.Table:
-        a, b, member, root, counts = meetings(table.column("blob").to_pylist(), hot)
+        a, b, member, root, counts = meetings([memoryview(x.as_buffer()) for x in table.column("blob")], hot)
         trim()
         bucket = pa.array([None] * len(a) + [table.column("bucket")[0].as_py()] * len(member), pa.int64())
         even, odd = (np.concatenate([np.zeros(len(a), np.int64), counts[:, c]]) for c in (0, 1))
@@ -467,24 +482,29 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     column = np.cumsum(new) - 1
     times = np.bincount(column)
     total, n = len(sets), len(left)
-    common = np.zeros(total * total, dtype=np.int32)
+    # Of two blocks only what lies between them is counted; within one, what is on or below the diagonal is not looked at.
+    from_ = n if right is not None else 0
+    wide = total - from_
+    common = np.zeros(n * wide, dtype=np.int32)
     # Elements in few sets: count their pairs of owners. Elements in many: multiply.
     first = np.cumsum(times) - times
     codes, held = [], 0
     for f in range(2, RARE + 1):
         at = first[times == f]
-        if not len(at):
-            continue
-        for i in range(f):
-            for j in range(i + 1, f):
-                codes.append(owner[at + i] * total + owner[at + j])
-                held += len(at)
-                if held > 2_000_000:
-                    common += np.bincount(np.concatenate(codes), minlength=total * total).astype(np.int32)
-                    codes, held = [], 0
+        for i, j in itertools.combinations(range(f), 2) if len(at) else ():
+            x, y = owner[at + i], owner[at + j]
+            if right is not None:
+                across = (x < n) & (y >= n)
+                x, y = x[across], y[across]
+            codes.append(x * wide + y - from_)
+            held += len(x)
+            if held > 500_000:
+                common += np.bincount(np.concatenate(codes), minlength=n * wide).astype(np.int32)
+                codes, held = [], 0
     if codes:
-        common += np.bincount(np.concatenate(codes), minlength=total * total).astype(np.int32)
-    common = common.reshape(total, total)
+        common += np.bincount(np.concatenate(codes), minlength=n * wide).astype(np.int32)
+    del codes
+    common = common.reshape(n, wide)
     often = times > RARE
     keep = often[column]
     column, owner = (np.cumsum(often) - 1)[column[keep]], owner[keep]
@@ -492,14 +512,17 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
         lo, hi = np.searchsorted(column, [a, a + COLUMNS])
         x = np.zeros((total, min(COLUMNS, int(often.sum()) - a)), dtype=np.float32)
         x[owner[lo:hi], column[lo:hi] - a] = 1
-        common += np.triu(x @ x.T, 1).astype(np.int32)
-    common = (common[:n, n:] if right is not None else common).astype(np.int64)
+        for r in range(0, n, ROWS):
+            common[r : r + ROWS] += (x[r : min(r + ROWS, n)] @ x[from_:].T).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
-    other = sizes[n:] if right is not None else sizes
-    close = 100 * common >= percent * (sizes[:n, None] + other[None, :] - common)
-    if right is None:
-        close = np.triu(close, 1)
-    return np.nonzero(close)
+    out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in range(0, n, ROWS):
+        some = common[r : r + ROWS].astype(np.int64)
+        close = 100 * some >= percent * (sizes[r : min(r + ROWS, n), None] + sizes[None, from_:] - some)
+        x, y = np.nonzero(close if right is not None else np.triu(close, r + 1))
+        out_x.append(x + r)
+        out_y.append(y)
+    return np.concatenate(out_x), np.concatenate(out_y)
 
 
 LINKS = "a long, b long, links long"
@@ -509,11 +532,9 @@ def verify(found: DataFrame, percent: int, width: int) -> DataFrame:
     """found: (t, i, j, comp, cls, copies, block, packed) -> (a, b, links): each class, its root in the task, its links there."""
 
     def run(table: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         comp, cls, copies, block = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("comp", "cls", "copies", "block"))
-        texts = [open_.decompress(p) for p in table.column("packed").to_pylist()]
-        sets = [s for a, b in slices([len(t) for t in texts]) for s in shingles(texts[a:b], width)]
+        sets = [s for _, _, some in unpacked(table.column("packed").to_pylist(), width) for s in some]
         order = np.lexsort((cls, comp))
         trim()
         out_a, out_b, out_n = [], [], []
