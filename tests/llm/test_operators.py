@@ -636,3 +636,52 @@ def test_media_query_and_open_heads(spark, tmp_path):
     assert got == expected
     items = {(r.page_id, r.position): (r.kind, r.text, r.caption, r.n_bytes) for r in media.query_pages(spark, str(tmp_path)).collect()}
     assert items == {(7, 0): ("text", "one", None, None), (7, 1): ("media", f"sha256:{sha(docs[0][1].encode())}", "cap", 11), (7, 2): ("media", "z.png", None, None)}
+
+
+@pytest.mark.parametrize("group", [1000, 100_000])
+def test_suffix_dedup_deals_no_hot_anchor_into_one_task(spark, monkeypatch, group):
+    """A line that fills texts gives one anchor thousands of rows, a text with many copies one key: neither goes to one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 50, raising=False)
+    random.seed(17)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    line, copy, width, lines = noise(30), noise(500), 120, 100
+    texts = [noise(random.randint(0, 200)) + line * lines + noise(random.randint(0, 200)) for _ in range(60)] + [copy] * 1500 + [noise(300) for _ in range(20)]
+    docs = frame(spark, list(enumerate(texts))).repartition(4).cache()
+    docs.count()
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in plain}
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def read_by_a_task():
+        """Most shuffled rows that a task of each stage has read."""
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        nothing = sc._jvm.java.util.ArrayList
+        stages = store.stageList(nothing(), False, False, sc._gateway.new_array(sc._jvm.double, 0), nothing())
+        out = {}
+        for x in (stages.apply(i) for i in range(stages.size())):
+            if x.shuffleReadRecords():
+                tasks = store.taskList(x.stageId(), x.attemptId(), 1000)
+                out[x.stageId()] = max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))
+        return out
+
+    before = read_by_a_task()
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs, width, 8, group).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    most = max(n for i, n in read_by_a_task().items() if i not in before)
+    docs.unpersist()
+    seen = collections.Counter(t[k : k + width] for t in texts for k in range(len(t) - width + 1))
+    expected = {}
+    for i, t in enumerate(texts):
+        cover = bytearray(len(t))
+        for k in range(len(t) - width + 1):
+            if seen[t[k : k + width]] > 1:
+                cover[k : k + width] = b"\1" * width
+        expected[i] = sum(cover)
+    assert got == expected
+    assert most < 1000
