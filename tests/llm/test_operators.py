@@ -685,3 +685,24 @@ def test_suffix_dedup_deals_no_hot_anchor_into_one_task(spark, monkeypatch, grou
         expected[i] = sum(cover)
     assert got == expected
     assert most < 1000
+
+
+def test_suffix_dedup_sorts_a_common_line_in_few_rows(spark, monkeypatch):
+    """Its surroundings make more contexts than `group`; parted by offsets they are few, so none of their suffixes is listed."""
+    random.seed(18)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    line, width, written = noise(40), 120, {}
+    texts = [noise(70) + line * 4 + noise(70) for _ in range(150)]
+    save = suffix_dedup.save
+
+    def counted(df, what):
+        written[what] = save(df, what)
+        return written[what]
+
+    monkeypatch.setattr(suffix_dedup, "save", counted)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(frame(spark, list(enumerate(texts))), width, 8, 200).collect()}
+    # Beside the lines, equal letters next to them may be part of a repeated string.
+    seen = collections.Counter(t[k : k + width] for t in texts for k in range(len(t) - width + 1))
+    cover = lambda t: {j for k in range(len(t) - width + 1) if seen[t[k : k + width]] > 1 for j in range(k, k + width)}
+    assert got == {i: len(cover(t)) for i, t in enumerate(texts)}
+    assert written["suffix-large"].count() < 10 * len(texts) * 4
